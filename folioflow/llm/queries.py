@@ -28,3 +28,10 @@ def op5_suffix_array_dedup(spark, sf_dir):
     from folioflow.llm.rlbwt import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op1_substring_dedup(spark, sf_dir):
+    from folioflow.llm.debruijn import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

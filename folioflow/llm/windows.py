@@ -128,7 +128,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_symbols(data: np.ndarray, offsets: np.ndarray):
     """Words of texts that lie one after the other: (word begins, word ends, words before each text, hash of each word)."""
     begin, end, symbol = [], [], []
-    inner = offsets[1:-1]
+    inner = offsets[1:-1] - offsets[0]
     at = 0
     n = len(data)
     while at < n:
