@@ -35,3 +35,11 @@ def op1_substring_dedup(spark, sf_dir):
     from folioflow.llm.debruijn import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_simhash_near_dedup(spark, sf_dir):
+    from folioflow.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
