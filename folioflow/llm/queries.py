@@ -43,3 +43,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+
+
+@query
+def op10_best_fit_packing(spark, sf_dir):
+    from folioflow.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
