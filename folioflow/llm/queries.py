@@ -50,3 +50,12 @@ def op10_best_fit_packing(spark, sf_dir):
     from folioflow.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    from folioflow.llm.langid import identify, learn
+    from folioflow.llm.split import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
