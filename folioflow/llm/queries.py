@@ -59,3 +59,14 @@ def op3_language_id(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    from folioflow.llm.split import held_out
+    from folioflow.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    out = score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
