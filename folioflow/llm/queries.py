@@ -70,3 +70,10 @@ def op2_toxicity(spark, sf_dir):
     model = learn(docs, table(spark, sf_dir, "labels"), ~held_out())
     out = score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_embedding_near_dedup(spark, sf_dir):
+    from folioflow.llm.lattice import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
