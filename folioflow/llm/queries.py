@@ -77,3 +77,13 @@ def op9_embedding_near_dedup(spark, sf_dir):
     from folioflow.llm.lattice import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_lm_scoring(spark, sf_dir):
+    from folioflow.llm.split import held_out
+    from folioflow.llm.suffix_tree import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, learn(docs, ~held_out(7, 2)))
+    return out.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
