@@ -87,3 +87,10 @@ def op8_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = score(docs, learn(docs, ~held_out(7, 2)))
     return out.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    from folioflow.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

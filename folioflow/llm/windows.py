@@ -117,15 +117,24 @@ _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of some bytes begin and end."""
-    word = np.zeros(len(data) + 2, np.int8)
-    word[1:-1] = ~_space[data]
-    d = np.diff(word)
-    return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+#: Bytes that are no ASCII letter or digit and no part of a longer character.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
 
-def word_symbols(data: np.ndarray, offsets: np.ndarray):
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the accented capitals of Latin-1 in lower case."""
+    x = _lower[data]
+    accent = np.flatnonzero(x[:-1] == 0xC3) + 1
+    accent = accent[(x[accent] >= 0x80) & (x[accent] <= 0x9E) & (x[accent] != 0x97)]
+    x[accent] += 32
+    return x
+
+
+def word_symbols(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _space):
     """Words of texts that lie one after the other: (word begins, word ends, words before each text, hash of each word)."""
     begin, end, symbol = [], [], []
     inner = offsets[1:-1] - offsets[0]
@@ -134,15 +143,15 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray):
     while at < n:
         to = min(n, at + PIECE)
         if to < n:  # cut after white space, else where the word ends
-            gap = np.flatnonzero(_space[data[at:to]])
+            gap = np.flatnonzero(space[data[at:to]])
             if len(gap):
                 to = at + int(gap[-1]) + 1
             else:
-                gap = np.flatnonzero(_space[data[to:]])
+                gap = np.flatnonzero(space[data[to:]])
                 to = to + int(gap[0]) + 1 if len(gap) else n
         x = data[at:to]
         word = np.zeros(len(x) + 2, np.int8)
-        word[1:-1] = ~_space[x]
+        word[1:-1] = ~space[x]
         d = np.diff(word)
         b, e = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
         cuts = inner[(inner > at) & (inner < to)] - at
