@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.langid import sample_rows
-from folioflow.llm.windows import BYTE_SYMBOL, TOP, buffers, groups, mix, powers, prefix
+from folioflow.llm.windows import BYTE_SYMBOL, TOP, buffers, groups, lower, mix, powers, prefix
 from folioflow.session import cut
 
 BITS, PREFIXES = 20, (3, 4, 5, 6, 7, 8, 10)
@@ -31,8 +31,6 @@ HAND = {
 }
 N_SURFACE = 5
 
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
 _letter = np.zeros(256, bool)
 _letter[97:123] = True
 _letter[128:] = True
@@ -40,10 +38,7 @@ _letter[128:] = True
 
 def word_features(data: np.ndarray, ends: np.ndarray):
     """Hashed prefixes and whole words of texts that lie one after the other: (text of each feature, bucket), and words per text."""
-    x = _lower[data]
-    accent = np.flatnonzero(x[:-1] == 0xC3) + 1
-    accent = accent[(x[accent] >= 0x80) & (x[accent] <= 0x9E) & (x[accent] != 0x97)]
-    x[accent] += 32
+    x = lower(data)
     letter = np.zeros(len(x) + 2, np.int8)
     letter[1:-1] = _letter[x]
     d = np.diff(letter)
@@ -284,9 +279,15 @@ def mine(labelled: DataFrame, each: int = LABELLED, stems: int = STEMS) -> Lexic
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, each: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """Model from bounded samples: labelled usable rows for the lexicons, any usable rows for the label model and the classifier."""
     spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable_docs = docs.where(usable & F.col("text").isNotNull())
-    labelled = cut(sample_rows(usable_docs.join(known, "doc_id").select("text", "toxic"), "toxic", each, 2 * each), "toxicity-labelled", release=False)
+    # The labels are sampled before they meet the texts: at most about 2 * each rows, so no text is moved but theirs.
+    known = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
+    spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, each / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, each / max(1, sizes.get(0, 0)))))
+    picked = known.where(spot < share)
+    labelled = usable_docs.join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    labelled = cut(sample_rows(labelled, "toxic", 2 * each, 4 * each), "toxicity-labelled", release=False)
     lexicon = mine(labelled, 2 * each)
     shared = spark.sparkContext.broadcast(lexicon)
     others = sample_rows(usable_docs.select("text", F.lit(0).alias("any")), "any", unlabelled, unlabelled).select("text")
