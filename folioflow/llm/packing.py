@@ -65,8 +65,8 @@ def _pieces(vocabulary: str, pattern: str, capacity: int, end_id: int, carry: li
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """Patterns ``(how often, lengths)`` that use up a histogram of lengths below ``capacity``.
 
-    First combinations of two, three or four lengths that fill a sequence exactly: the single, pair or triple that is
-    the complement of the longest length left. Then best fit: the longest piece that still fits, again and again.
+    The longest length left comes first, with the single, pair or triple of lengths that is its exact complement. What
+    has no complement left is a residual and is filled by best fit: the longest piece that still fits, again and again.
     """
     left = np.zeros(capacity + 1, np.int64)
     for k, n in histogram.items():
@@ -107,28 +107,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 return [a, *rest]
         return None
 
-    for longest in range(capacity - 1, 0, -1):
+    def best_fit(longest: int) -> None:
+        pattern, room = [longest], capacity - longest
+        left[longest] -= 1
+        while room and len(fits := np.flatnonzero(left[1 : room + 1])):
+            x = int(fits[-1]) + 1
+            pattern.append(x)
+            left[x] -= 1
+            room -= x
+        for x in pattern:
+            left[x] += 1
+        take(pattern)
+
+    for longest in range(capacity, 0, -1):
         gap = capacity - longest
         while left[longest]:
-            if take([longest, gap]):
+            if take([longest, gap] if gap else [longest]):
                 continue
             left[longest] -= 1
             found = pair(gap) or triple(gap, longest)
             left[longest] += 1
             if not found or not take([longest, *found]):
-                break
-    for longest in range(capacity, 0, -1):
-        while left[longest]:
-            pattern, room = [longest], capacity - longest
-            left[longest] -= 1
-            while room and len(fits := np.flatnonzero(left[1 : room + 1])):
-                x = int(fits[-1]) + 1
-                pattern.append(x)
-                left[x] -= 1
-                room -= x
-            for x in pattern:
-                left[x] += 1
-            take(pattern)
+                best_fit(longest)
     return out
 
 

@@ -181,9 +181,14 @@ def fit_label_model(v: np.ndarray, prior: float = 0.1, rounds: int = 40) -> Labe
     """Expectation maximisation over the class; correlations given the class weigh voters down that repeat each other."""
     n, k = v.shape
     hot = np.stack([(v == x) for x in (-1, 0, 1)], axis=2).astype(np.float64)
-    lean = (v == 1).sum(axis=1) - (v == 0).sum(axis=1)
-    q = np.clip(1 / (1 + np.exp(-lean)), 0.05, 0.95)
-    m = LabelModel(prior, np.full((2, k, 3), 1 / 3), np.ones(k), np.eye(k))
+    side = hot[:, :, 2] - hot[:, :, 1]
+    # Voters that repeat each other outright count once from the start.
+    x = side - side.mean(axis=0)
+    size = np.sqrt(np.maximum((x * x).sum(axis=0), 1e-12))
+    same = np.abs(x.T @ x / np.outer(size, size)) > 0.8
+    np.fill_diagonal(same, True)
+    m = LabelModel(prior, np.full((2, k, 3), 1 / 3), 1 / same.sum(axis=1), np.eye(k))
+    q = np.clip(1 / (1 + np.exp(-2 * side @ m.weight)), 0.05, 0.95)
     for step in range(rounds):
         for y, w in ((0, 1 - q), (1, q)):
             m.table[y] = (np.einsum("i,ijx->jx", w, hot) + 0.5) / (w.sum() + 1.5)
