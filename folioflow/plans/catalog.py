@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folioflow.plans.text"]
+MODULES = ["folioflow.plans." + m for m in ("text", "headings", "tables", "regions")]
 
 
 def load() -> None:
