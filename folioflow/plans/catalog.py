@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folioflow.plans." + m for m in ("text", "headings", "tables", "regions")]
+MODULES = ["folioflow.plans." + m for m in ("text", "headings", "tables", "regions", "ranking", "geometry")]
 
 
 def load() -> None:
