@@ -32,7 +32,7 @@ def candidate_ranks(d):
 
 
 def _best(d, score: str) -> str:
-    return f"SELECT block, attempt, text, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, attempt) AS no FROM (SELECT *, round({score}, 9) AS score FROM {attempts(d)} AS a) AS b) AS c WHERE no = 1"
+    return f"SELECT block, attempt, text, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, attempt) AS no FROM (SELECT *, round({score}, 9) AS score FROM {attempts(d)} AS a) AS b) AS c WHERE no = 1"
 
 
 @both("attempt_best")
