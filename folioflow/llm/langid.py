@@ -77,11 +77,12 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int,
     """Squared-hinge linear support vector machine by dual coordinate descent; rows are sparse, y is -1 or 1."""
     w, b = np.zeros(size, np.float64), 0.0
     alpha = np.zeros(len(rows))
-    q = np.array([float(v @ v) + 1.0 for _, v in rows]) + 1 / (2 * c)
+    q = np.array([float(v.astype(np.float64) @ v) + 1.0 for _, v in rows]) + 1 / (2 * c)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, v = rows[i]
+            v = v.astype(np.float64)
             g = y[i] * (float(w[at] @ v) + b) - 1 + alpha[i] / (2 * c)
             new = max(alpha[i] - g / q[i], 0.0)
             d = (new - alpha[i]) * y[i]
@@ -200,11 +201,12 @@ def sample_rows(labelled: DataFrame, label: str, each: int, most: int) -> DataFr
 def learn(docs: DataFrame, usable: Column, each: int = PER_LANGUAGE, most: int = SAMPLE) -> Machine:
     """Machines fitted on a bounded sample of the rows with a language, a letter and ``usable``."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    rows = sample_rows(labelled, "lang", each, most).mapInArrow(_sparse, "lang string, at array<int>, val array<float>").toArrow().combine_chunks()
-    langs = rows.column("lang").to_pylist()
-    out = []
-    for a, v in zip(rows.column("at"), rows.column("val"), strict=True):
-        out.append((a.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False).astype(np.float64)))
+    rows = sample_rows(labelled, "lang", each, most).mapInArrow(_sparse, "lang string, at array<int>, val array<float>").toArrow()
+    langs, out = [], []
+    for batch in rows.to_batches():  # views of what arrived, never a second copy
+        langs += batch.column("lang").to_pylist()
+        for a, v in zip(batch.column("at"), batch.column("val"), strict=True):
+            out.append((a.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)))
     order = sorted(range(len(langs)), key=lambda i: (langs[i], len(out[i][0]), out[i][0][:8].tolist(), float(out[i][1].sum()), out[i][1][:4].tolist()))
     return fit([out[i] for i in order], [langs[i] for i in order])
 
