@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioflow.functions import patterns as P
 
@@ -74,7 +75,7 @@ def strict_number(x: Column, kind: str) -> Column:
     return F.struct(raw.alias("raw"), ascii_digits(raw).alias("digits"), valid.alias("valid"), ambiguous.alias("ambiguous"), status.alias("status"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Unicode normalisation form C, which Spark has no function for."""
     return x.str.normalize("NFC")

@@ -150,7 +150,7 @@ def rtf_text(source: str) -> str:
         return "\t" if m[0].startswith("\\tab") else "\n"
 
     text = _RTF.sub(change, source)
-    text = re.sub(r"\{\\\*(?:[^{}]|\{[^{}]*\})*\}", "", text)
+    text = re.sub(r"\{\\\*(?:[^{}]|\{[^{}]*\})*\}", "{}", text)  # the braces still end the control word before
     text = re.sub(r"[{}]", "", re.sub(r"\\[A-Za-z]+-?\d* ?", "", text))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 

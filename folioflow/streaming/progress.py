@@ -17,23 +17,28 @@ IDLE, LATE = "10 seconds", "1 minute"
 FAILURES, COOLDOWN_MS = 3, 30_000
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Event time as a timestamp with a zone, which is what a stream's watermark takes."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def sessions(events: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
     """Stretches of progress of each user; one ends after ``idle`` without an event. Events later than ``late`` are dropped by a stream."""
     w = F.session_window("ts", idle).alias("w")
-    out = events.withWatermark("ts", late).groupBy("user_id", w).agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
+    out = timed(events).withWatermark("ts", late).groupBy("user_id", w).agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n_events", "total")
 
 
 def windowed(events: DataFrame, size: str = "1 minute", late: str = LATE) -> DataFrame:
     """Events by type and minute."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.avg("value"), 6).alias("mean"))
+    out = timed(events).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.avg("value"), 6).alias("mean"))
     return out.select(F.col("w.start").alias("began"), "event_type", "n_events", "mean")
 
 
 def deduped(events: DataFrame, keys: tuple[str, ...] = ("event_id",), late: str = LATE) -> DataFrame:
     """The first event of each key; a stream remembers keys for as long as ``late``."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+        return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
     return events.dropDuplicates(list(keys))
 
 
