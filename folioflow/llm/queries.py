@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow.llm.sql import SQL
 from folioflow.session import table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
 def query(f):
