@@ -8,6 +8,8 @@ TONES = r"\x{0E48}-\x{0E4B}"
 CONSONANT = r"\x{0E01}-\x{0E2E}"
 SPACES = r"[\s\x{00A0}\x{FEFF}]"
 TRIM = rf"^{SPACES}+|{SPACES}+$"
+#: The same signs, for functions that trim a set of them.
+BLANKS = " \t\n\x0b\f\r\u00a0\ufeff"
 
 _LABEL = "[a-z0-9](?:[-a-z0-9]{0,61}[a-z0-9])?"
 _MAILBOX = r"[-\w.+%&'*/=?^`{|}~!#$]+"

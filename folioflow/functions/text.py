@@ -12,7 +12,7 @@ from folioflow.functions import patterns as P
 
 def trim(x: Column) -> Column:
     """Without white space, no-break spaces and byte-order marks at both ends."""
-    return F.regexp_replace(x, P.TRIM, "")
+    return F.btrim(x, F.lit(P.BLANKS))
 
 
 def like(x: Column, pattern: str) -> Column:

@@ -92,6 +92,9 @@ class Spark(Duck):
     def sub(self, x: str, pattern: str, new: str) -> str:
         return f"regexp_replace({x}, {self.s(pattern)}, {self.s(new)})"
 
+    def trim(self, x: str) -> str:
+        return f"btrim({x}, {self.s(P.BLANKS)})"
+
     def count(self, x: str, pattern: str) -> str:
         return f"regexp_count({x}, {self.s(pattern)})"
 

@@ -87,16 +87,16 @@ def gibberish(d, source: str) -> str:
     """(id, status, score, reasons) of texts with confidence, baseline and fit, by ten penalties that add up."""
     n = "length(" + d.sub("t", r"\s", "") + ")"
     symbols = d.count("t", r"[\p{P}\p{S}]")
-    tokens, thai, english = d.count("t", r"\S+"), d.count("t", rf"\S*[{P.THAI}]\S*"), d.count("x", r"[^\x{0E00}-\x{0E7F}\s]*[A-Za-z][^\x{0E00}-\x{0E7F}\s]*")
+    tokens, english = d.count("t", r"\S+"), d.count("x", r"[^\x{0E00}-\x{0E7F}\sA-Za-z]*[A-Za-z][^\x{0E00}-\x{0E7F}\s]*")
     odd = d.count("t", r"[#+@\[\]|]")
     short = d.count("(' ' || " + d.sub("t", r"\s+", "  ") + " || ' ')", r"\s\S{1,2}\s")
     suspicious = d.count("(' ' || " + d.sub("t", r"\s+", "  ") + " || ' ')", r"\s[^\s#+<>@\[\]{|}\\]{0,8}[#+<>@\[\]{|}\\]\S{0,8}\s")
-    vowels = d.count("x", r"[^\x{0E00}-\x{0E7F}\s]*[AEIOUaeiouy][^\x{0E00}-\x{0E7F}\s]*")
+    vowels = d.count("x", r"[^\x{0E00}-\x{0E7F}\sAEIOUaeiouy]*[AEIOUaeiouy][^\x{0E00}-\x{0E7F}\s]*")
     parts = {
         "symbol_ratio": f"CASE WHEN {n} > 0 AND {symbols} * 1.0 / greatest({n}, 1) > 0.25 THEN 0.34 ELSE 0.0 END",
-        "script_switches": f"least(0.3, {suspicious} * 0.5 / greatest({tokens}, 1))",
-        "thai_syllables": f"CASE WHEN {thai} > 0 AND NOT {d.has('t', SYLLABLE)} THEN 0.25 ELSE 0.0 END",
-        "english_tokens": f"CASE WHEN {english} > 0 AND {vowels} * 1.0 / greatest({english}, 1) < 0.45 AND {d.has('t', '[A-Za-z]{4,}')} THEN 0.16 ELSE 0.0 END",
+        "script_switches": f"CASE WHEN NOT {d.has('t', '[#+<>@' + chr(92) + '[' + chr(92) + ']{|}' + chr(92) * 2 + ']')} THEN 0.0 ELSE least(0.3, {suspicious} * 0.5 / greatest({tokens}, 1)) END",
+        "thai_syllables": f"CASE WHEN {d.has('t', f'[{P.THAI}]')} AND NOT {d.has('t', SYLLABLE)} THEN 0.25 ELSE 0.0 END",
+        "english_tokens": f"CASE WHEN NOT {d.has('t', '[A-Za-z]{4,}')} THEN 0.0 WHEN {vowels} * 1.0 / greatest({english}, 1) < 0.45 THEN 0.16 ELSE 0.0 END",
         "confidence": "CASE WHEN confidence < 0.6 THEN 0.28 WHEN confidence < 0.82 THEN 0.12 ELSE 0.0 END",
         "noise_symbols": f"CASE WHEN {odd} >= 3 THEN 0.24 ELSE 0.0 END",
         "short_tokens": f"CASE WHEN {tokens} >= 3 AND {short} * 1.0 / greatest({tokens}, 1) > 0.58 THEN 0.18 ELSE 0.0 END",

@@ -10,8 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
+#: Bytes of a table above which it is worth spreading over idle cores.
+SPREAD = 4 << 20
+
+
+def spread(df: DataFrame, least: int = SPREAD) -> DataFrame:
+    """``df`` over all cores if its files give fewer partitions than there are cores; a table of many files is left as it is."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(size)) < least or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
