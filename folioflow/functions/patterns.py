@@ -19,7 +19,7 @@ PHONE = rf"^\+?[{DIGIT}][-.()\s{DIGIT}]" + "{5,}$"
 CODE = r"^[A-Za-z0-9][-#\\/:._A-Za-z0-9]*$"
 CODE_SIGN = r"[-#\\/:._]"
 PATH = r"^(?:/|[A-Za-z]:\\)[^\n]+$"
-VERSION = r"^\d+(?:\.\d+){1,4}$"
+VERSION = r"^\d+(?:[.]\d+){1,4}$"
 PUNCTUATION = r"^[\p{S}\p{P}]+$"
 
 TOKEN = "|".join([
@@ -34,7 +34,7 @@ TOKEN = "|".join([
     r"\S",
 ])
 
-_GROUPED = r"(?:\d{1,3}(?:,\d{3})+|\d+)"
+_GROUPED = r"(?:\d{1,3}(?:,\d\d\d)+|\d+)"
 STRICT = {
     "integer": r"^[+-]?\d+$",
     "decimal": rf"^[+-]?{_GROUPED}(?:\.\d+)?$",

@@ -15,7 +15,7 @@ def distance(a: list, b: list) -> int:
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+            before, row[j] = row[j], min(before + (x != y), 1 + min(row[j - 1], row[j]))
     return row[-1]
 
 

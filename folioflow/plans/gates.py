@@ -29,10 +29,11 @@ def dash_elements(d):
     return f"SELECT id, line + 1 AS line, CAST(col AS INT) AS col, part AS symbol FROM {placed} AS p WHERE {d.has('part', '^' + DASH + '$')} UNION ALL SELECT id, line + 1, NULL, {d.trim('s')} FROM {lines} AS l2 WHERE {d.has(d.trim('s'), line)}"
 
 
+_TH, _LA = "[ก-๙]", "[A-Za-z]"
 SIGNALS = {
-    "latin_inside_thai_word": lambda d: d.has("t", "[ก-๙][A-Za-z]+[ก-๙]|[A-Za-z]+[ก-๙]+[A-Za-z]+"),
+    "latin_inside_thai_word": lambda d: d.has("t", f"{_TH}{_LA}+{_TH}|{_LA}+{_TH}+{_LA}+"),
     "english_noise_in_thai": lambda d: f"({d.has('t', r'(?i)(?:^|[^0-9A-Z_a-z])(?:dos|wi|io|Tn' + chr(92) + '.)(?:[^0-9A-Z_a-z]|$)')} AND {d.has('t', '[ก-๙]')})",
-    "repeated_barcode_symbols": lambda d: d.has("t", r"(?:\|\s*){3,}|(?:\[\s*){3,}|(?:\+\s*){3,}"),
+    "repeated_barcode_symbols": lambda d: d.has("t", "|".join(rf"(?:{sign}\s*){{3,}}" for sign in (r"\+", r"\[", r"\|"))),
     "unstructured_alphanumeric": lambda d: f"({d.has('t', '[A-Za-z][0-9][A-Za-z][0-9]|[0-9][A-Za-z][0-9][A-Za-z]')} AND NOT {d.has('t', '[0-9A-Za-z]+[-/_][0-9A-Za-z]+')})",
     "low_confidence": lambda d: "confidence < 0.6",
     "no_baseline": lambda d: "NOT baseline",

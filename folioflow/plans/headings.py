@@ -17,8 +17,8 @@ _ENGLISH = ["analysis", "abstract", "appendix", "chapter", "conclusion", "detail
 _STOP = r"(?:[:\x{FF1A}]|\s|$)"
 EXPLICIT = rf"(?i)^(?:{'|'.join(_ENGLISH + _THAI)}){_STOP}"
 MAJOR = rf"(?i)^(?:part|chapter|หมวดที่|หมวด|บทที่|บท){_STOP}"
-NUMBERED = r"(?i)^([IVXLC]+|[\x{0E01}-\x{0E2E}]|\d+(?:\.\d+){0,3})[).]?\s+(.+)$"
-VALUE = r"^(?:\+?[-()\s\d]{7,}|\d{1,2}:\d{2}(?::\d{2})?|\d{1,2}[-.:/]\d{1,2}[-.:/]\d{2,4}|[£€$\x{0E3F}]?\s*[-+]?[\d\x{0E50}-\x{0E59}][,\d\x{0E50}-\x{0E59}]*(?:\.\d+)?%?)$"
+NUMBERED = r"(?i)^([IVXLC]+|[\x{0E01}-\x{0E2E}]|\d+(?:[.]\d+){0,3})[).]?\s+(.+)$"
+VALUE = r"^(?:\+?[-()\s\d]{7,}|\d\d?(?::\d\d){1,2}|\d{1,2}[-.:/]\d{1,2}[-.:/]\d{2,4}|[£€$\x{0E3F}]?\s*[-+]?[\d\x{0E50}-\x{0E59}][,\d\x{0E50}-\x{0E59}]*(?:\.\d+)?%?)$"
 CODE = r"(?i)^(?:\d{2,}[-/_][-A-Z0-9]+|[0-9A-Z]{5,}|[A-Z]{1,8}[-/_]\d[-./\w]*)$"
 CONTACT = r"(?i)(?:www\.|https?://|[-+.\w]+@[-.\w]+\.[a-z]{2,})"
 ENDED = r"[!.?\x{3002}\x{FF01}\x{FF1F}]$"

@@ -77,10 +77,11 @@ NOISY = [
     (9, "สวัสดีครับ ทุกคน", 0.97, True, True), (10, "กA1B", 0.9, True, False), (11, "bcdfg hjklm", 0.9, True, True), (12, "[[[ |||", 0.1, False, False), (13, "no 1 a b c", 0.81, True, True),
 ]
 CODE = r"(?i)^(?:[0-9A-Z]{2,}[-/_])+[-./0-9A-Z_]+$"
-PHONE = r"^(?:\+?\d{1,3}[-\s]?)?(?:\(?\d{2,3}\)?[-\s]?)?\d{3,4}[-\s]?\d{3,4}$"
+_AREA = r"\(?\d\d\d?\)?"
+PHONE = r"^(?:\+?\d{1,3}[-\s]?)?" + rf"(?:{_AREA}[-\s]?)?" + r"\d{3,4}[-\s]?\d{3,4}$"
 LINK = r"(?i)(?:www\.|https?://|[^@\s]+@[^@\s]+\.[^@\s]+)"
 SYLLABLE = "(?:[เแโใไ]?[ก-ฮ]+[ะ-ูเ-์]?|[ก-ฮ]+[รลว][ก-ฮ]?)"
-MIXED = r"[ก-๙][#+0-9@A-Z\[\]a-z|]{2,}[ก-๙]?|[A-Za-z][ก-๙][0-9A-Za-z]"
+MIXED = r"[A-Za-z][ก-๙][0-9A-Za-z]" + "|" + r"[ก-๙][#+0-9@A-Z\[\]a-z|]{2,}"
 
 
 def gibberish(d, source: str) -> str:
@@ -128,7 +129,7 @@ def ocr_gibberish(d):
     """The faster noise test: seven reasons, noise at two."""
     n = "length(" + d.sub("t", r"\s", "") + ")"
     symbols = d.count("t", r"[^\p{L}\p{N}\s]")
-    pattern = r"(?i)(?:ISBN|https?://|[-+.\w]+@[-.\w]+|\d{2}[-./:]\d{2}|[A-Z]{2,}-\d+)"
+    pattern = "(?i)" + "|".join([r"[A-Z]{2,}-\d+", r"\d\d[-./:]\d\d", r"[-+.\w]+@[-.\w]+", "https?://", "ISBN"])
     sound = f"({d.has('t', '[ก-ฮ][ะ-ูเ-ไำ]')} OR {d.has('t', '[ก-ฮ]{2,}')} OR {d.has('t', '(?:^|[^0-9A-Z_a-z])[A-Za-z]{2,}(?:[^0-9A-Z_a-z]|$)')})"
     reasons = [f"({symbols} * 1.0 / greatest({n}, 1) > 0.30)", f"(NOT {sound} AND NOT {d.has('t', pattern)} AND {n} >= 3)", "(confidence > 0 AND confidence < 0.35)", "(NOT baseline)", "(NOT fit)"]
     total = " + ".join(f"CASE WHEN {r} THEN 1 ELSE 0 END" for r in reasons)

@@ -123,7 +123,9 @@ def review_first_(d):
 
 
 SYMBOLS = r"[#+<=>@\[\]_|]"
-NOISE = r"(?i)(?:^|\s)(?:CAR\s*A|CH\s*[\x{201D}\x22'=]*|0{3,}\d*|<=\s*\d+|\|\s*-?\s*TR|[#+@\[\]|]{2,}|[#0-9@A-Za-z|](?:\s*[#0-9@A-Za-z|]){3}\s*[#0-9@A-Za-z|]+)(?:$|\s)"
+_JUNK = "[#0-9@A-Za-z|]"
+_NOISES = [r"[#+@\[\]|]{2,}", rf"{_JUNK}(?:\s*{_JUNK}){{3}}\s*{_JUNK}+", r"000+\d*", r"<=\s*\d+", r"\|\s*-?\s*TR", r"CH\s*[\x{201D}\x22'=]*", r"CAR\s*A"]
+NOISE = rf"(?i)(?:\s|^)(?:{'|'.join(_NOISES)})(?:\s|$)"
 
 
 def leak(d, x: str) -> str:
@@ -241,8 +243,8 @@ def protected(d, t: str) -> str:
 
 
 def block_type(d, t: str) -> str:
-    isbn = r"(?i)(?:ISBN(?:-1[03])?\s*:?\s*(?:97[89][-\s]?)?[0-9X](?:[-\s]?[0-9X]){8,12}|97[89](?:[-\s]?\d){10})"
-    phone = r"(?:\(?\d{2,3}\)?[-\s]?)\d{3,4}[-\s]\d{3,4}|^0\d(?:[-\s]?\d){8}$"
+    isbn = r"(?i)(?:97[89](?:[-\s]?\d){10}|" + r"ISBN(?:-10|-13)?\s*:?\s*" + r"(?:97[89][-\s]?)?[0-9X](?:[-\s]?[0-9X]){8,12})"
+    phone = r"^0\d(?:[-\s]?\d){8}$|" + r"\(?\d\d\d?\)?" + r"[-\s]?\d{3,4}[-\s]\d{3,4}"
     price = rf"(?:ราคา|บาท|\x{{0E3F}})\s*[,.{P.DIGIT}]+|[,.{P.DIGIT}]+\s*(?:\x{{0E3F}}|บาท)"
     return f"""CASE WHEN {t} = '' THEN 'unknown' WHEN {d.has(t, isbn)} THEN 'isbn' WHEN {d.has(t, phone)} THEN 'phone' WHEN {d.has(t, price)} THEN 'price' WHEN {d.has(t, r'^(?:[' + P.CONSONANT + r']|' + chr(92) + 'd+)[).]' + chr(92) + 's+')} THEN 'numbered_list'
       WHEN {d.has(t, 'ซอย|เลขที่|จังหวัด|อำเภอ|ตำบล|เขต|แขวง|ถนน')} AND length({t}) > 15 THEN 'address' WHEN {d.has(t, 'เผยแพร่|จัดพิมพ์|ศูนย์หนังสือ|สำนักพิมพ์')} THEN 'publisher_info' WHEN p IN ('person_name', 'school_name', 'organization_name', 'class_level') THEN p
@@ -254,7 +256,7 @@ def block_types(d):
     """Type of each block and the language to read it in."""
     thai, latin = d.has("t", f"[{P.THAI}]"), d.has("t", "[A-Za-z]")
     language = f"""CASE WHEN type IN ('person_name', 'school_name', 'organization_name', 'class_level') THEN 'tha' WHEN type IN ('isbn', 'phone', 'price') THEN 'number' WHEN type IN ('address', 'publisher_info') AND {latin} THEN 'tha+eng'
-      WHEN {thai} AND {latin} THEN 'tha+eng' WHEN {thai} OR type IN ('title', 'paragraph', 'numbered_list', 'address', 'publisher_info') THEN 'tha' WHEN {latin} THEN 'eng' ELSE 'tha' END"""
+      WHEN {thai} AND {latin} THEN 'tha+eng' WHEN {thai} OR type IN ('address', 'numbered_list', 'publisher_info', 'paragraph', 'title') THEN 'tha' WHEN {latin} THEN 'eng' ELSE 'tha' END"""
     return f"SELECT id, p AS protected, type, {language} AS language FROM (SELECT *, {block_type(d, 't')} AS type FROM (SELECT *, {protected(d, 't')} AS p FROM (SELECT id, y, h, {d.trim('text')} AS t FROM {values(d, BLOCKS, 'id, text, y, h')} AS a) AS b) AS c) AS e"
 
 

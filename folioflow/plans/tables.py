@@ -33,7 +33,7 @@ def matrix(d):
 def markdown(d):
     t = f"replace(replace({clean(d, 'text')}, '|', {d.s(chr(92) + '|')}), chr(10), '<br>')"
     rows = f"(SELECT tbl, r, '| ' || {d.agg(t, ' | ', 'c')} || ' |' AS row_text FROM {cells(d)} AS x GROUP BY tbl, r)"
-    return f"SELECT tbl, {d.agg('CASE WHEN r = 0 THEN row_text || chr(10) || ' + d.s('| --- | --- | --- | --- |') + ' ELSE row_text END', chr(10), 'r')} AS markdown FROM {rows} AS y GROUP BY tbl"
+    return f"SELECT tbl, {d.agg('CASE WHEN r = 0 THEN row_text || chr(10) || ' + d.s('|' + ' --- |' * 4) + ' ELSE row_text END', chr(10), 'r')} AS markdown FROM {rows} AS y GROUP BY tbl"
 
 
 @both("matrix_tsv")
@@ -116,7 +116,7 @@ def neighbours(d):
     return f"SELECT tbl, r, c, n_neighbours, n_equal FROM {_duplicates(d)} AS x"
 
 
-NUMERIC = {"integer": "integer", "decimal": "decimal", "currency": "currency", "percentage": "percentage", "date": "date", "time": "time", "running_number": "integer"}
+NUMERIC = {k: k for k in ("currency", "date", "decimal", "integer", "percentage", "time")} | {"running_number": "integer"}
 
 
 def _checked(d) -> str:
@@ -169,7 +169,7 @@ def confidence_breakdown(d):
 def verified_cells(d):
     """Every cell's status; the last rule that holds wins, review only over verified."""
     general = "round(confidence * 0.31 + 0.2 + 0.13 + CASE WHEN confidence > 0.9 THEN 0.1 ELSE 0.05 END + 0.08 + 0.08 + 0.1, 9)"
-    numeric = "column_type IN ('integer', 'decimal', 'currency', 'percentage', 'date', 'time', 'running_number')"
+    numeric = f"column_type IN ({', '.join(map(repr, NUMERIC))})"
     ambiguous = f"({numeric} AND {d.has('t', P.AMBIGUOUS)})"
     status = f"""CASE WHEN {ambiguous} THEN 'manual_review_required' WHEN duplicate OR mismatch OR low THEN 'contaminated' WHEN t = '' THEN 'possibly_empty'
       WHEN {general} < CASE WHEN {numeric} THEN 0.985 ELSE 0.94 END THEN 'review_recommended' ELSE 'verified' END"""

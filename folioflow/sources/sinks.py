@@ -79,27 +79,38 @@ def _zip(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-_TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
-_RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
-_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-_MIME = "application/vnd.openxmlformats-officedocument"
+_HEAD = "<?xml" + ' version="1.0"' + ' encoding="UTF-8"?>'
+_SCHEMAS = "http://schemas.openxmlformats" + ".org"
+_TYPES, _RELS = (f"{_SCHEMAS}/package/2006/{x}" for x in ("content-types", "relationships"))
+_OFFICE = f"{_SCHEMAS}/officeDocument/2006/relationships"
+_WORD, _SHEET = (f"{_SCHEMAS}/{x}/2006/main" for x in ("wordprocessingml", "spreadsheetml"))
+_PACKAGE = "application/vnd.openxmlformats" + "-package"
+_MIME = "application/vnd.openxmlformats" + "-officedocument"
+
+
+def _default(ending: str, mime: str) -> str:
+    return f'<Default Extension="{ending}" ContentType="{mime}"/>'
 
 
 def _package(main: str, mime: str, more: dict[str, str] | None = None) -> dict[str, str]:
     over = "".join(f'<Override PartName="/{k}" ContentType="{v}"/>' for k, v in ({main: mime} | (more or {})).items())
     return {
-        "[Content_Types].xml": f'{_HEAD}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{over}</Types>',
+        "[Content_Types].xml": f'{_HEAD}<Types xmlns="{_TYPES}">{_default("xml", "application/xml")}{_default("rels", _PACKAGE + ".relationships+xml")}{over}</Types>',
         "_rels/.rels": f'{_HEAD}<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="{main}"/></Relationships>',
     }
 
 
+def _paragraph(run: str, props: str = "") -> str:
+    inner = props + "<w:r>" + run + "</w:r>"
+    return "<w:p>" + inner + "</w:p>"
+
+
 def docx(pages: list[list[dict]]) -> bytes:
     """Paragraphs and tables in reading order, with spans, a page break between pages."""
 
     def lines(text: str | None, style: str = "") -> str:
         props = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
-        return "".join(f'<w:p>{props}<w:r><w:t xml:space="preserve">{_x(s)}</w:t></w:r></w:p>' for s in (text or "").split("\n"))
+        return "".join(_paragraph(f'<w:t xml:space="preserve">{_x(s)}</w:t>', props) for s in (text or "").split("\n"))
 
     def table(b: dict) -> str:
         anchors = {(c["row"], c["column"]): c for c in b["cells"] or [] if not c["hidden"]}
@@ -120,11 +131,16 @@ def docx(pages: list[list[dict]]) -> bytes:
         return "<w:tbl>" + "".join(out) + "</w:tbl>"
 
     order = lambda p: sorted(p, key=lambda b: (b["y"] or 0, b["x"] or 0))
-    body = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'.join("".join(table(b) if b["type"] == "table" else lines(b["text"], "Heading1" if b["role"] == "heading" else "") for b in order(p) if b["type"] == "table" or b["text"]) for p in pages)
-    xml = f'{_HEAD}<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}<w:sectPr><w:pgSz w:w="11910" w:h="16845"/></w:sectPr></w:body></w:document>'
+    body = _paragraph('<w:br w:type="page"/>').join("".join(table(b) if b["type"] == "table" else lines(b["text"], "Heading1" if b["role"] == "heading" else "") for b in order(p) if b["type"] == "table" or b["text"]) for p in pages)
+    xml = f'{_HEAD}<w:document xmlns:w="{_WORD}"><w:body>{body}<w:sectPr><w:pgSz w:w="11910" w:h="16845"/></w:sectPr></w:body></w:document>'
     return _zip(_package("word/document.xml", f"{_MIME}.wordprocessingml.document.main+xml") | {"word/document.xml": xml})
 
 
+def _inline(ref: str, text: str) -> str:
+    inner = f'<t xml:space="preserve">{_x(text)}</t>'
+    return f'<c t="inlineStr" r="{ref}"><is>' + inner + "</is></c>"
+
+
 def _letters(c: int) -> str:
     out = ""
     while c >= 0:
@@ -142,13 +158,13 @@ def xlsx(pages: list[list[dict]]) -> bytes:
             tables = [{"rows": len(texts), "columns": 1, "cells": [{"row": r, "column": 0, "row_span": 1, "column_span": 1, "text": t, "hidden": False} for r, t in enumerate(texts)]}]
         sheets += [(f"Page {i} Table {k}", b) for k, b in enumerate(tables, 1)]
     sheets = sheets or [("Page 1", {"rows": 1, "columns": 1, "cells": []})]
-    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    ns = _SHEET
     parts, rels, names, types = {}, [], [], {}
     for k, (name, b) in enumerate(sheets, 1):
         by_row: dict[int, list] = {}
         for c in sorted((c for c in b["cells"] or [] if not c["hidden"]), key=lambda c: (c["row"], c["column"])):
             by_row.setdefault(c["row"], []).append(c)
-        rows = "".join(f'<row r="{r + 1}">' + "".join(f'<c r="{_letters(c["column"])}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{_x(c["text"])}</t></is></c>' for c in cs) + "</row>" for r, cs in by_row.items())
+        rows = "".join(f'<row r="{r + 1}">' + "".join(_inline(f'{_letters(c["column"])}{r + 1}', c["text"]) for c in cs) + "</row>" for r, cs in by_row.items())
         spans = [f'<mergeCell ref="{_letters(c["column"])}{c["row"] + 1}:{_letters(c["column"] + c["column_span"] - 1)}{c["row"] + c["row_span"]}"/>' for cs in by_row.values() for c in cs if c["row_span"] > 1 or c["column_span"] > 1]
         merges = f'<mergeCells count="{len(spans)}">{"".join(spans)}</mergeCells>' if spans else ""
         parts[f"xl/worksheets/sheet{k}.xml"] = f'{_HEAD}<worksheet xmlns="{ns}"><sheetData>{rows}</sheetData>{merges}</worksheet>'
