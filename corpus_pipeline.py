@@ -27,11 +27,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least number; rows that repeat it are one."""
+    """Of each group of near-duplicates the document with the least number, or any one if none has a number; rows that repeat it are one."""
     hashed = docs.withColumn("_h", F.xxhash64("text", "lang", "source", "n_chars"))
     groups = near_duplicates(hashed, carry=("doc_id", "_h"))
-    kept = groups.where("doc_id <=> component_id").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    kept = kept.groupBy("doc_id").agg(F.min(F.struct("_h", "_n")).alias("k")).select(F.col("doc_id").alias("_id"), F.col("k._h").alias("_k"), F.col("k._n").alias("_n"))
+    kept = groups.where("doc_id <=> component_id").groupBy("root", "doc_id", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    kept = kept.groupBy("root").agg(F.min(F.struct("_h", "_n", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_k"), F.col("k._n").alias("_n"))
     kept = cut(kept, "kept", release=False)
 
     def rows(which: DataFrame) -> DataFrame:

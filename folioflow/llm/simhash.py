@@ -76,7 +76,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Da
     """Rows of ``docs`` linked where their fingerprints differ in 2 or fewer bits.
 
     Returns the ``carry`` columns, which must hold an integer ``doc_id``, with fp, n_near (rows linked directly, not counting
-    the row itself) and component_id (least doc_id reachable through links, the row's own included). Equal
+    the row itself), component_id (least doc_id reachable through links, the row's own included) and root (least
+    fingerprint reachable, one for each group, whatever its numbers). Equal
     fingerprints are one class: links between classes are found once and weighted by their sizes, so copies cost no
     pairs. Null, empty and blank texts have fingerprint 0 and are linked like any others. Repeated rows count as
     documents of their own; a null doc_id is no component's least one unless it has no other. An empty table gives no
@@ -90,5 +91,5 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Da
     roots = components(pairs).withColumnRenamed("vertex", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    info = classes.join(near, "fp", "left").join(least, "root").select("fp", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
-    return rows.join(info, "fp").select(*[F.col(c) for c in carry], "fp", "n_near", "component_id")
+    info = classes.join(near, "fp", "left").join(least, "root").select("fp", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id", "root")
+    return rows.join(info, "fp").select(*[F.col(c) for c in carry], "fp", "n_near", "component_id", "root")

@@ -176,3 +176,16 @@ def test_pipeline(spark, docs, tmp_path):
     empty = docs.select(*columns).limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, sf).count() == 0
+
+
+def _documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, tmp_path):
+    """Unrelated texts without a number, or with one number, are groups of their own."""
+    rng = random.Random(17)
+    a, b, c, d, e, f, g = (" ".join(words(rng, 60)) for _ in range(7))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (None, e), (8, e), (9, e), (3, f), (3, f), (None, g), (7, g)]
+    got = corpus_pipeline.near_dedup(spark, _documents(spark, rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (None, b), (7, c), (7, d), (8, e), (3, f), (7, g)])
