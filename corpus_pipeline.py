@@ -50,8 +50,9 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, edited or not."""
-    leaks = matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    leaks = matches(hashed, table(spark, sf_dir, "benchmark"), carry=("doc_id", "_h")).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")).distinct()
+    return hashed.join(leaks, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

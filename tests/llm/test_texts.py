@@ -189,3 +189,13 @@ def test_near_dedup_keeps_one_of_each_group(spark, tmp_path):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (None, e), (8, e), (9, e), (3, f), (3, f), (None, g), (7, g)]
     got = corpus_pipeline.near_dedup(spark, _documents(spark, rows), str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (None, b), (7, c), (7, d), (8, e), (3, f), (7, g)])
+
+
+def test_decontaminate_tells_rows_apart_by_text(spark, tmp_path):
+    """A leak without a number goes; a clean row that shares a leak's number stays."""
+    rng = random.Random(18)
+    item = " ".join(words(rng, 40))
+    leak, clean, other = " ".join([*words(rng, 20), item]), " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontaminate(spark, _documents(spark, [(None, leak), (None, clean), (5, leak), (5, other)]), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, clean), (5, other)])
