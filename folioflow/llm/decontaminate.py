@@ -1,25 +1,28 @@
-"""Benchmark decontamination by rare seeds and Smith-Waterman alignment.
-
-Test items are broken into n-grams of words. Those too rare to turn up by chance, given how often their words occur in
-the whole corpus, are the seeds; every item keeps its rarest ones. Documents are read once more: where a seed occurs, the
-words around are aligned with the item, and the score of the best local alignment tells copies, edited or
-paraphrased ones included, from chance.
+"""Benchmark decontamination by rare links and Smith-Waterman alignment.
+
+A link is two words of a test item, next to each other or with one between, that stand next to each other or with one
+between in a text. An alignment that scores S has at least ceil(S / 2) - 1 links, from different words each: of M matches
+2 M - S edits at most lie between, so M - ceil(S / 2) gaps at most hold two edits or more. An item may therefore leave out its
+commonest links, as long as those left must turn up in every leak; how often words occur in the corpus decides which
+go, for speed alone. Documents are read once more: where enough links lie close together, the words around are aligned with
+the item. No alignment over the threshold is missed, whatever the corpus holds.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.windows import PUNCTUATION, buffers, groups, lower, powers, prefix, word_symbols
+from folioflow.llm.windows import C1, PUNCTUATION, buffers, groups, lower, word_symbols
 
-#: Words of a seed; seeds an item keeps in any case; how often, at most, a seed may be expected by chance in the whole corpus; score of
-#: a leak; items held at a time.
-SEED, LEAST, CHANCE, SCORE, BLOCK = 3, 4, 0.05, 0.4, 50_000
+#: Least words of an item; score of a leak; items held at a time; cost of an alignment next to that of a link found.
+LEAST, SCORE, BLOCK, COST = 3, 0.4, 50_000, 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -46,14 +49,19 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """Test items and their seeds: hashes in order, with item and place of each."""
+    """Test items and their links: hashes in order, with the item of each; by item how many links a leak must have and its most words."""
 
     ids: list
     words: list[np.ndarray]
-    seeds: np.ndarray
+    links: np.ndarray
     item: np.ndarray
-    place: np.ndarray
-    width: int
+    need: np.ndarray
+    reach: np.ndarray
+
+
+def link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two words in order."""
+    return a * C1 + b
 
 
 def _word_counts(vocabulary):
@@ -75,93 +83,107 @@ def _word_counts(vocabulary):
     return run
 
 
-def build_index(items: list[tuple], counts: dict[int, int], total: int, width: int = SEED, least: int = LEAST, chance: float = CHANCE) -> Index:
-    """Seeds of items (id, word hashes): the n-grams expected at most ``chance`` times, and the rarest ``least`` of each item."""
-    ids, words, seeds, item, place = [], [], [], [], []
+def build_index(items: list[tuple], counts: dict[int, int], total: int, least: int = LEAST, threshold: float = SCORE) -> Index:
+    """Links of items (id, word hashes), without the commonest ones that an alignment of the threshold can do without."""
+    ids, words, links, item, need, reach = [], [], [], [], [], []
     for key, w in items:
-        n = min(width, len(w))
-        if not n:
-            continue
-        p = prefix(w)
-        at = np.arange(len(w) - n + 1)
-        grams = (p[n:] - p[:-n]) * powers()[1][at]
-        logs = np.log([(counts.get(int(x), 0) + 1) / (total + 1) for x in w.view(np.int64)])
-        expected = np.array([logs[i : i + n].sum() for i in at]) + np.log(total + 1)
-        keep = (expected <= np.log(chance)) if n == width else np.zeros(len(at), bool)
-        keep[np.argsort(expected, kind="stable")[:least]] = True
-        if n < width:
-            keep[:] = False  # an item of fewer words than a seed cannot be told from chance
-        k = np.flatnonzero(keep)
-        seeds.append(grams[k])
-        item.append(np.full(len(k), len(ids)))
-        place.append(k)
+        if len(w) < max(least, 2):
+            continue  # an item of so few words cannot be told from chance
+        score = math.ceil(threshold * MATCH * len(w) - 1e-9)
+        sure = max(1, -(-score // 2) - 1)
+        longest = 3 * len(w) - score  # M matches and 2 M - S more
+        share = np.array([(counts.get(int(x), 0) + 1) / (total + 1) for x in w.view(np.int64)])
+        rate = 2 * share[:-1] * (share[1:] + np.append(share[2:], 0))
+        order = np.argsort(-rate, kind="stable")
+        # Links left out against alignments in vain, if words fell at random but eight times as dense.
+        left = np.cumsum(rate[order][::-1])[::-1][:sure]
+        more = np.arange(sure)[::-1]
+        vain = np.array([k * np.log(8 * r * longest) - math.lgamma(k + 1) for k, r in zip(more.tolist(), left, strict=True)])
+        out = int((left * (1 + COST * np.exp(np.minimum(vain, 0)))).argmin())
+        at = np.sort(order[out:])
+        two = at[at + 2 < len(w)]
+        found = np.unique(np.concatenate([link(w[at], w[at + 1]), link(w[two], w[two + 2])]))
+        links.append(found)
+        item.append(np.full(len(found), len(ids)))
+        need.append(sure - out)
+        reach.append(longest)
         ids.append(key)
         words.append(w)
-    if not seeds:
+    if not links:
         z = np.zeros(0, np.int64)
-        return Index([], [], z.astype(np.uint64), z, z, width)
-    seeds, item, place = np.concatenate(seeds), np.concatenate(item), np.concatenate(place)
-    order = np.argsort(seeds, kind="stable")
-    return Index(ids, words, seeds[order], item[order], place[order], width)
-
-
-def find(index: Index, w: np.ndarray, hits: list[tuple[int, int]], threshold: float) -> list[tuple[int, float, int, int, int]]:
-    """Items that align with the words of one text; hits are (seed number, place in the text).
-
-    Returns (item, score, seeds, first word, end) of each item's best place, where the score reaches the threshold.
-    """
-    by: dict[int, list[int]] = {}
-    for s, at in hits:
-        by.setdefault(int(index.item[s]), []).append(at - int(index.place[s]))
-    out = []
-    for i, starts in by.items():
-        a = index.words[i]
-        starts.sort()
-        best = (0.0, 0, 0, 0)
-        k = 0
-        while k < len(starts):
-            j = k
-            while j + 1 < len(starts) and starts[j + 1] - starts[j] <= len(a):
-                j += 1
-            lo, hi = max(0, starts[k] - len(a) // 2 - 2), min(len(w), starts[j] + len(a) + len(a) // 2 + 2)
-            score, end = align(a, w[lo:hi])
-            best = max(best, (score / (MATCH * len(a)), j - k + 1, -lo, lo + end))
-            k = j + 1
-        if best[0] >= threshold:
-            out.append((i, best[0], best[1], -best[2], best[3]))
-    return out
+        return Index([], [], z.astype(np.uint64), z, z, z)
+    links, item = np.concatenate(links), np.concatenate(item)
+    order = np.argsort(links, kind="stable")
+    return Index(ids, words, links[order], item[order], np.array(need), np.array(reach))
+
+
+def candidates(index: Index, known: np.ndarray, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, place among the words h) of links that lie with as many others as a leak needs, in order."""
+    shift = np.uint64(64 - int(len(known)).bit_length() + 1)
+    keys, places = [], []
+    for d in (1, 2):
+        g = link(h[:-d], h[d:])
+        at = np.flatnonzero(known[(g >> shift).astype(np.int64)])
+        left, right = np.searchsorted(index.links, g[at], "left"), np.searchsorted(index.links, g[at], "right")
+        n = right - left
+        at = np.repeat(at, n)
+        k = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(len(at))
+        text = np.searchsorted(before, at, "right") - 1
+        inside = at + d < before[text + 1]
+        keys.append((text * len(index.ids) + index.item[k])[inside])
+        places.append(at[inside])
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    if len(key):
+        new = np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))
+        key, place = key[new], place[new]
+    item = key % max(len(index.ids), 1)
+    last = np.arange(len(key)) + index.need[item] - 1
+    end = np.minimum(last, len(key) - 1)
+    full = np.flatnonzero((last < len(key)) & (key[end] == key) & (place[end] - place < index.reach[item]))
+    live = np.zeros(len(key) + 1, np.int64)
+    np.add.at(live, full, 1)
+    np.add.at(live, last[full] + 1, -1)
+    on = np.cumsum(live)[:-1] > 0
+    return key[on] // max(len(index.ids), 1), item[on], place[on]
+
+
+def find(index: Index, i: int, w: np.ndarray, places: list[int], threshold: float) -> tuple[float, int, int, int] | None:
+    """Score, links, first word and end of the best place of item ``i`` in the words of one text, if it reaches the threshold."""
+    a, reach = index.words[i], int(index.reach[i])
+    best = (0.0, 0, 0, 0)
+    k = 0
+    while k < len(places):
+        j = k
+        while j + 1 < len(places) and places[j + 1] - places[j] <= reach:
+            j += 1
+        lo, hi = max(0, places[k] - reach), min(len(w), places[j] + reach)
+        score, end = align(a, w[lo:hi])
+        best = max(best, (score / (MATCH * len(a)), j - k + 1, -lo, lo + end))
+        k = j + 1
+    return (best[0], best[1], -best[2], best[3]) if best[0] >= threshold else None
 
 
 def _matches(shared, threshold: float, carry: list[str]):
     def run(batches):
         index = shared.value
-        n = index.width
-        map_ = np.zeros(1 << 20, bool)
-        map_[(index.seeds >> np.uint64(44)).astype(np.int64)] = True
+        bits = min(max(20, (16 * len(index.links)).bit_length()), 26)
+        known = np.zeros(1 << bits, bool)
+        known[(index.links >> np.uint64(64 - bits)).astype(np.int64)] = True
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             rows: list = []
             for i, j in groups(offsets):
                 before, h = symbols(data, offsets[i : j + 1])
-                found = []
-                for lo in range(0, len(h), 1 << 19):
-                    x = h[lo : lo + (1 << 19) + n - 1]
-                    if len(x) < n:
-                        break
-                    p = prefix(x)
-                    g = (p[n:] - p[:-n]) * powers()[1][: len(x) - n + 1]
-                    at = np.flatnonzero(map_[(g >> np.uint64(44)).astype(np.int64)])
-                    left, right = np.searchsorted(index.seeds, g[at], "left"), np.searchsorted(index.seeds, g[at], "right")
-                    for k in np.flatnonzero(right > left):
-                        found += [(s, lo + int(at[k])) for s in range(int(left[k]), int(right[k]))]
-                text = np.searchsorted(before, [f[1] for f in found], "right") - 1 if found else []
-                by: dict[int, list] = {}
-                for t, (s, at) in zip(text, found, strict=True):
-                    if at + n <= before[t + 1]:
-                        by.setdefault(int(t), []).append((s, at - int(before[t])))
-                for t, hits in by.items():
-                    for m in find(index, h[before[t] : before[t + 1]], hits, threshold):
-                        rows.append((i + t, *m))
+                text, item, place = candidates(index, known, h, before)
+                cuts = np.flatnonzero((text[1:] != text[:-1]) | (item[1:] != item[:-1])) + 1
+                edges = [0, *cuts.tolist(), len(text)] if len(text) else []
+                for lo, hi in pairwise(edges):
+                    t, k = int(text[lo]), int(item[lo])
+                    m = find(index, k, h[before[t] : before[t + 1]], (place[lo:hi] - before[t]).tolist(), threshold)
+                    if m:
+                        rows.append((i + t, k, *m))
             if rows:
                 row, item, score, seeds, begin, end = zip(*rows, strict=True)
                 arrays = [*(batch.column(c).take(pa.array(row, pa.int64())) for c in carry), pa.array([index.ids[k] for k in item], pa.int64()), pa.array(score, pa.float64()), pa.array(seeds, pa.int32()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
@@ -170,14 +192,14 @@ def _matches(shared, threshold: float, carry: list[str]):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, width: int = SEED, block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, width: int = LEAST, block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pairs of a document and a test item that it holds a copy of, edited perhaps.
 
     Returns the ``carry`` columns of the document, item_id, score (of the best local alignment as a share of the item's
-    full score; at least ``threshold``), n_seeds, and the words [begin_word, end_word) around the place. Case and
+    full score; at least ``threshold``), n_seeds (links found there), and the words [begin_word, end_word) around the place. Case and
     punctuation don't count. Null and empty texts match nothing, nor do items of fewer than ``width`` words. Repeated
     rows, of documents or items, give rows of their own. An empty table gives no rows. Other columns are
-    ignored. Items are held ``block`` at a time, and all documents are read for each block.
+    ignored. The threshold must ask for more than one word of every item. Items are held ``block`` at a time, and all documents are read for each block.
     """
     spark = docs.sparkSession
     carry = list(carry)
@@ -196,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, wid
         vocabulary = spark.sparkContext.broadcast(np.unique(h))
         counted = read.select("text").mapInArrow(_word_counts(vocabulary), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
         counts = {r["h"]: r["n"] for r in counted}  # as many as the block has words
-        index = spark.sparkContext.broadcast(build_index(items, counts, counts.pop(0, 0), width))
+        index = spark.sparkContext.broadcast(build_index(items, counts, counts.pop(0, 0), width, threshold))
         found = read.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(_matches(index, threshold, carry), f"{kinds}, item_id long, score double, n_seeds int, begin_word int, end_word int")
         out = found if out is None else out.unionByName(found)
     return out

@@ -48,6 +48,29 @@ def test_leaks(spark):
     assert decontaminate.matches(left, right.limit(0)).count() == 0
 
 
+def test_every_alignment_is_met(spark):
+    """Edited and partial copies beside a hot group that holds the item, as an alignment of all pairs tells."""
+    rng = random.Random(12)
+    common = words(rng, 12)
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else words(rng, 1)[0] for _ in range(n)]
+    items = [prose(n) for n in (3, 4, 9, 15, 24, 40, 60)]
+    texts = [" ".join(prose(30) + items[5] + prose(30))] * 150 + [" ".join(prose(rng.randrange(1, 200))) for _ in range(60)]
+    for item in items:
+        third = [w if i % 3 < 2 else "changed" for i, w in enumerate(item)]
+        apart = [x for w in item for x in (w, "between")]
+        less = [w for i, w in enumerate(item) if i % 3 < 2]
+        half = item[: len(item) // 2]
+        texts += [" ".join(prose(20) + x + prose(20)) for x in (third, apart, less, half, item)]
+        texts += [" ".join(prose(9) + [w if rng.random() > p else rng.choice(common) for w in item] + prose(9)) for p in (0.1, 0.3, 0.4, 0.5) for _ in range(3)]
+    number: dict = {}
+    codes = lambda t: np.array([number.setdefault(w, len(number)) for w in t])
+    score = {(t, k): decontaminate.align(codes(item), codes(t.split()))[0] / (2 * len(item)) for t in set(texts) for k, item in enumerate(items)}
+    want = Counter((i, k, score[t, k]) for i, t in enumerate(texts) for k in range(len(items)) if score[t, k] >= 0.4)
+    left = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    right = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id, r.score) for r in decontaminate.matches(left, right).collect()) == want
+
+
 def test_alignment():
     def brute(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
