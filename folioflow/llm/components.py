@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import cut
+from folioflow.session import cut, drop
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     component. Each round is one aggregation with partial sums and one join; nothing is collected but one count. Self
     links and repeated links do no harm; vertices are those that occur in a link. An empty input gives no rows.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", release=False)
+    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small, "stars", release=False)
+        edges, last = cut(small, "stars"), edges
+        drop(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.rlbwt import merge, representatives
 from folioflow.llm.windows import buffers, mix, powers, prefix, repeated, text_key, word_symbols
-from folioflow.session import cut
+from folioflow.session import cut, drop
 
 __all__ = ["compact", "remove_repeats", "repeat_spans"]
 
@@ -83,9 +83,10 @@ def repeat_spans(keyed: DataFrame, length: int = WINDOW, gram: int = GRAM) -> Da
     found = cut(repeated(keyed, True, length, gram, 2 * length - 1), "graph-edges")
     mixed = found.where("lo != hi")
     whole, reps = representatives(mixed)
-    wanted = cut(reps.groupBy("key").agg(F.collect_list(F.struct("s", "m", "n")).alias("reps")), "graph-reps", release=False)
+    wanted = cut(reps.groupBy("key").agg(F.collect_list(F.struct("s", "m", "n")).alias("reps")), "graph-reps")
     whole = mixed.join(whole, ["a", "c"]).select("key", "s", "m", "c").unionByName(found.where("lo = hi").select("key", "s", "m", "c"))
     windows = cut(keyed.join(wanted, "key").mapInArrow(_window_hashes(length), "key long, s int, n long, h long").dropDuplicates(["key", "s"]), "graph-windows")
+    drop(wanted)
     often = windows.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
     verified = windows.join(often, "h").select("key", F.col("s").alias("b"), (F.col("s") + length).alias("e"))
     marks = compact(whole, length).select("key", "b", F.col("e").cast("int").alias("e")).unionByName(verified)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.windows import SUPER, buffers, kernel, mix, powers, prefix, repeated, text_key
 from folioflow.llm.windows import BYTE_SYMBOL
-from folioflow.session import cut, parts
+from folioflow.session import cut, drop, parts
 
 __all__ = ["RunLengthIndex", "remove_repeats", "repeat_spans", "SUPER", "kernel"]
 
@@ -236,10 +236,11 @@ def repeat_spans(keyed: DataFrame, length: int = MATCH, gram: int = GRAM, shard:
     found = cut(repeated(keyed, False, length, gram, length), "bwt-anchors")
     mixed = found.where("lo != hi")
     whole, reps = representatives(mixed)
-    reps = cut(reps, "bwt-reps", release=False)
+    reps = cut(reps, "bwt-reps")
     whole = mixed.join(whole, ["a", "c"]).select("key", "s", "m").unionByName(found.where("lo = hi").select("key", "s", "m"))
     wanted = reps.groupBy("key").agg(F.collect_list(F.struct("a", "s", "m", "k", "n")).alias("reps"))
-    content = cut(keyed.join(wanted, "key").mapInArrow(_fetch(length), _FETCHED), "bwt-contents", release=False)
+    content = cut(keyed.join(wanted, "key").mapInArrow(_fetch(length), _FETCHED), "bwt-contents")
+    drop(reps)
     cold = content.where(F.col("k") <= hot).repartition(parts(spark), "a").sortWithinPartitions("a", "key", "s")
     indexed = cold.mapInArrow(_indexed(length, shard), _SPANS)
     windows = content.where(F.col("k") > hot).dropDuplicates(["a", "key", "s"]).mapInArrow(_window_hashes(length), "key long, s int, n long, h long")

@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Da
     rows. Columns besides text and ``carry`` are ignored, whatever their names.
     """
     rows = cut(fingerprints(docs, carry), "simhash")
-    classes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")), "simhash-classes", release=False)
+    classes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")), "simhash-classes")
     pairs = cut(near_pairs(classes.select("fp")), "simhash-pairs")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.join(classes.select(F.col("fp").alias("v"), "size"), "v").groupBy(F.col("u").alias("fp")).agg(F.sum("size").alias("others"))

@@ -292,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, each: int = LABELL
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, each / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, each / max(1, sizes.get(0, 0)))))
     picked = known.where(spot < share)
     labelled = usable_docs.join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    labelled = cut(sample_rows(labelled, "toxic", 2 * each, 4 * each), "toxicity-labelled", release=False)
+    labelled = cut(sample_rows(labelled, "toxic", 2 * each, 4 * each), "toxicity-labelled")
     lexicon = mine(labelled, 2 * each)
     shared = spark.sparkContext.broadcast(lexicon)
     others = sample_rows(usable_docs.select("text", F.lit(0).alias("any")), "any", unlabelled, unlabelled).select("text")
