@@ -23,7 +23,7 @@ def texts():
     rows += [(40, None), (41, ""), (42, " \t\n"), (43, "é" * 700), (44, "x" * 900), (45, "ab" * 500), (46, "| " * 300)]
     rows += [(50 + i, base) for i in range(4)] + [(60, " ".join(words[:60] + ["other"] + words[61:])), (60, " ".join(words[:60] + ["other"] + words[61:]))]
     rows += [(70 + i, prose(rng, 20) + "\n" + shared + "  " + prose(rng, 20)) for i in range(6)]
-    rows += [(80, long), (81, prose(rng, 7) + " " + long[2000:9000]), (82, shared[:401]), (83, shared + "\x0b" + shared), (None, base), (None, "Straße ÄÖÜ und so"), (90, "One two"), (91, "one TWO")]
+    rows += [(80, long), (81, prose(rng, 7) + " " + long[2000:9000]), (82, shared[:401]), (83, shared + "\x0b" + shared), (None, base), (None, "Straße ÄÖÜ und so"), (90, "One two"), (91, "one TWO"), (92, "a <|endoftext|> b")]
     return rows
 
 
