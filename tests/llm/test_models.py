@@ -62,7 +62,7 @@ def test_label_model_weighs_voters():
     assert m.weight[4:7].max() < 0.5 < m.weight[:4].min()  # three voters that say the same count as one
 
 
-@pytest.mark.parametrize("head", [1_000_000, 40])
+@pytest.mark.parametrize("head", [600_000, 40])
 def test_base_score(spark, docs, texts, head):
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in texts]
     held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts]
@@ -82,6 +82,126 @@ def test_head_size_does_not_change_scores(spark, docs):
     assert a == b
 
 
+def _follow(seqs, depth):
+    """Of sequences of symbols, each with how often it occurs, the counts of symbols after contexts; the first symbol isn't predicted."""
+    out: dict = {}
+    for seq, n in seqs:
+        for i in range(1, len(seq)):
+            for k in range(min(depth, i) + 1):
+                out.setdefault(seq[i - k : i], Counter())[seq[i]] += n
+    return {s: Counter({x: n for x, n in row.items() if n >= 2}) for s, row in out.items()}
+
+
+def _speller(words, divergence=suffix_tree.DIVERGENCE, d=suffix_tree.DISCOUNT):
+    follow = {s: row for s, row in _follow([(b" " + w + b" ", n) for w, n in words.items()], suffix_tree.DEPTH).items() if row}
+    root = follow.pop(b"", Counter())
+    keep = {b"", b" "}
+    for s, row in follow.items():
+        t = s[1:]
+        while t and t not in follow:
+            t = t[1:]
+        parent = follow[t] if t else root
+        n, m = sum(row.values()), sum(parent.values()) + 0.256
+        if sum(c * math.log2(c / n / ((parent[x] + 1e-3) / m)) for x, c in row.items()) >= divergence:
+            keep |= {s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+
+    def p(s, x):
+        if not s:
+            return (root[x] + 1) / (sum(root.values()) + 256)
+        row = follow.get(s)
+        n = sum(row.values()) if row else 0
+        if not n:
+            return p(s[1:], x)
+        used = {y: max(c - d, 0) for y, c in row.items()}
+        return (used.get(x, 0) + (n - sum(used.values())) * p(s[1:], x)) / n
+
+    def spell(w):
+        total, text = 0.0, b" " + w + b" "
+        for i in range(1, len(text)):
+            state = next(text[k:i] for k in range(i + 1) if text[k:i] in keep)
+            total += math.log10(p(state, text[i]))
+        return total
+
+    return spell
+
+
+def _brute_scores(train, texts, gain, divergence, d=suffix_tree.DISCOUNT, spelled=suffix_tree.SPELLED):
+    """Score of each text under a model of (words, lang) pairs, by dictionaries alone."""
+    langs = [x for x, _ in sorted(Counter(lang for _, lang in train).items(), key=lambda x: (-x[1], x[0]))]
+    by = [Counter(x for w, lang in train if lang == k for x in [*w, b""]) for k in langs] + [Counter()]
+    c: Counter = sum(by, Counter())
+    size, v = [sum(x.values()) for x in by], len(c)
+    spell = [_speller(x, divergence) for x in by]
+    prior = [math.log10((n + 1) / (sum(size) + len(by))) for n in size]
+    pairs = Counter(p for w, _ in train for p in zip([b"", *w], [*w, b""]))
+    three = Counter(t for w, _ in train for t in zip([b"", *w], w, [*w[1:], b""]))
+
+    def base(u, x):
+        return sum(by[k][u] / c[u] * (by[k][x] + 1) / (size[k] + v) for k in range(len(by)))
+
+    def states(counts, total, shorter):
+        found: dict = {}
+        for (*s, x), n in counts.items():
+            s = tuple(s)
+            if n >= 2 and n * math.log2((n - d) / total(s) / shorter(s, x)) >= gain:
+                found.setdefault(s, {})[x] = n
+        out = {}
+        for s, row in found.items():
+            t = total(s)
+            rest = 1 - sum((n - d) / t for n in row.values())
+            g = sum(n * math.log2(((n - d) / t + rest * shorter(s, x)) / shorter(s, x)) for x, n in row.items())
+            if g + (t - sum(row.values())) * math.log2(rest) >= divergence:
+                out[s] = ({x: (n - d) / t for x, n in row.items()}, rest)
+        return found, out
+
+    found, one = states(pairs, lambda s: c[s[0]], lambda s, x: base(s[0], x))
+
+    def under_one(s, x):
+        own, rest = one.get(s[1:], ({}, 1.0))
+        return own.get(x, 0) + rest * base(s[1], x)
+
+    _, two = states({k: n for k, n in three.items() if k[1] in found.get(k[:1], {})}, lambda s: pairs[s], under_one)
+    scores = []
+    for w in texts:
+        seen, total = [0.0] * len(by), 0.0
+        for i, x in enumerate([*w, b""]):
+            k = max(range(len(by)), key=lambda j: (seen[j] + prior[j], -j))
+            p = (1 - spelled) * by[k][x] / max(size[k], 1) + spelled * 10 ** spell[k](x)
+            for n, table in ((1, one), (2, two)):
+                s = tuple([b"", *w][i + 1 - n : i + 1]) if i + 1 >= n else None
+                if s in table:
+                    p = table[s][0].get(x, 0) + table[s][1] * p
+            total += math.log10(p)
+            seen = [a + f(x) for a, f in zip(seen, spell)]
+        scores.append(total)
+    return scores, len(one), len(two)
+
+
+@pytest.mark.parametrize("head", [600_000, 5])
+def test_score_by_brute_force(spark, head):
+    rng = random.Random(4)
+    phrases = ["the old mill by the river", "a cup of hot tea", "by the river we sat", "the cup by the tea"]
+    tail = ["der alte weg am fluss", "am fluss der alte"]
+    rows = [(i, " ".join(rng.choice(tail if i % 4 == 0 else phrases) + rng.choice(["", " Xy", " zebra" + "abc"[i % 3]]) for _ in range(rng.randrange(8))), "de" if i % 4 == 0 else "en") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = [t.lower().encode().split() for _, t, _ in rows]
+    train = [(w, lang) for w, (i, _, lang) in zip(words, rows) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want, n_one, n_two = _brute_scores(train, words, 4.0, 12.0)
+    assert n_one > 5 and n_two > 5
+    model = suffix_tree.learn(docs, ~held_out(7, 2), gain=4.0, divergence=12.0, head=head)
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, model).collect()}
+    assert [round(got[i], 2) for i in range(160)] == [round(x, 2) for x in want]
+    assert [len(x.states.keys) for x in model.contexts] == [n_one, n_two]
+
+
+def test_words_before_matter(spark):
+    """What follows a phrase of the training texts is likelier than the same words in another order."""
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight", "en") for i in range(60)] + [(1000 + i, f"w{i} x{i % 7} y{i % 5}", "en") for i in range(200)], "doc_id long, text string, lang string")
+    probe = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "five one eight three seven two six four")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(probe, suffix_tree.learn(docs, ~held_out(7, 2))).collect()}
+    assert got[1] > got[2] + 5
+
+
 def test_nothing_to_learn(spark, docs, no_docs):
     rows = suffix_tree.score(docs, suffix_tree.learn(no_docs, ~held_out(7, 2))).collect()
     assert len(rows) == docs.count() and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)
@@ -93,7 +213,7 @@ def test_tree_is_a_distribution():
     words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 6))) for _ in range(4000)]
     size = np.array([len(w) for w in words])
     key, n = suffix_tree.ngrams(size, np.ones(len(words), np.int64), np.frombuffer(b"".join(words), np.uint8))
-    tree = suffix_tree.build_tree(key, n, 1e-9)
+    tree = suffix_tree.build_tree(key, n, 2.0)
     columns = np.bincount(tree.symbol, minlength=tree.log.shape[1])
     assert len(tree.contexts) > 20 and np.allclose((10.0**tree.log * columns).sum(axis=1), 1, atol=1e-4)
     # The state after each byte is the longest suffix that is a state.
