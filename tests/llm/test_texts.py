@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -41,9 +42,10 @@ def test_leaks(spark):
     left = spark.createDataFrame([(a, b, 1, 1.0) for a, b in docs], "doc_id long, text string, item_id int, score double")
     right = spark.createDataFrame(benchmark, "item_id long, text string, doc_id string")
     want = Counter([(100, 0), (101, 1), (102, 2), (103, 3), (103, 4), (103, 3), (103, 4), (None, 0)])
-    for block in (100, 3):
-        got = decontaminate.matches(left, right, block=block).collect()
-        assert Counter((r.doc_id, r.item_id) for r in got) == want
+    got = decontaminate.matches(left, right).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == want
+    named = decontaminate.matches(left.withColumn("key", F.lit("k")).withColumn("row", F.lit(0)), right.select(F.concat(F.lit("q"), F.col("item_id")).alias("item_id"), "text"), carry=("doc_id", "key", "row")).collect()
+    assert Counter((r.doc_id, r.item_id) for r in named) == Counter((d, f"q{i}") for d, i in want.elements()) and {(r.key, r.row) for r in named} == {("k", 0)}
     assert decontaminate.matches(left.limit(0), right).count() == 0
     assert decontaminate.matches(left, right.limit(0)).count() == 0
 
