@@ -7,6 +7,8 @@ the data, since only the 65 around it emit it: no group is unbounded.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from xxhash import xxh64_intdigest
 
 from folioflow.llm.components import components
 from folioflow.llm.windows import buffers
-from folioflow.session import cut
+from folioflow.session import cut, parts
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,17 +61,42 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
     return docs.select(*carry, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_fingerprints(carry), f"{kinds}, fp long")
 
 
+def _meet(batches):
+    """(variant, fp) sorted by variant to the pairs of fingerprints on one variant that are near, each once."""
+    variant, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            variant = np.concatenate([variant, batch.column("variant").to_numpy()])
+            fp = np.concatenate([fp, batch.column("fp").to_numpy()])
+            last = int(np.searchsorted(variant, variant[-1], "left")) if len(variant) else 0
+        else:
+            last = len(variant)
+        v, f = variant[:last], fp[:last]
+        variant, fp = variant[last:], fp[last:]
+        for d in range(1, len(v)):
+            at = np.flatnonzero(v[d:] == v[:-d])
+            if not len(at):
+                break
+            a, b = f[at], f[at + d]
+            x = a ^ b
+            near = np.bitwise_count(x.view(np.uint64)) <= RADIUS
+            a, b, x, here = a[near], b[near], x[near], v[at][near]
+            low = x & -x
+            # Two fingerprints meet on two variants; the lesser one has the pair.
+            once = here == np.minimum(a ^ low, b ^ low)
+            a, b = a[once], b[once]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
 def near_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)``, u < v, of distinct fingerprints (column fp) that differ in 1 or 2 bits."""
+    """Pairs ``(u, v)``, u < v, of distinct fingerprints (column fp) that differ in 1 or 2 bits.
+
+    Fingerprints are dealt out before they multiply; variants are shuffled once, as two numbers each.
+    """
+    n = parts(distinct.sparkSession)
     flips = F.array(F.lit(0).cast("long"), *[F.expr(f"shiftleft(1L, {i})") for i in range(64)])
-    balls = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = balls.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
-    two = met.where("n = 2").select("u", "v")
-    many = balls.join(met.where("n > 2").select("variant"), "variant")
-    many = many.groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # 65 at most
-    many = many.select(F.posexplode("fps").alias("i", "u"), "fps").select("u", F.explode(F.expr("slice(fps, i + 2, 65)")).alias("v"))
-    pairs = two.unionByName(many).distinct()
-    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
+    balls = distinct.select("fp").repartition(n, "fp").select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    return balls.repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(_meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
