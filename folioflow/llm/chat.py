@@ -56,7 +56,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def _format(template: str, kinds: list[str]):
     def run(batches):
         render = compile_template(template, FILTERS)
-        now, messages, done = None, [], []
+        now, messages, done, kind = None, [], [], None
 
         def finish():
             text, spans = render({"messages": messages})
@@ -65,10 +65,11 @@ def _format(template: str, kinds: list[str]):
         def flush():
             ids, texts, spans = zip(*done, strict=True)
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))], kinds)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))], kinds)
 
         size = 0
         for batch in batches:
+            kind = batch.schema.field("conv_id").type
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if now is None or conv != now[0]:
                     if now is not None:
@@ -91,11 +92,11 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     """One row for each conversation of ``turns`` (conv_id, turn, role, text): conv_id, formatted and loss (spans of code points).
 
     Turns are in order of turn, ties in order of role and text; a turn that is null comes first. Null roles and texts are empty. Rows whose
-    conv_id is null form one conversation. Repeated rows are turns of their own. An empty table gives no rows. Other
+    conv_id, of any type, is null form one conversation. Repeated rows are turns of their own. An empty table gives no rows. Other
     columns are ignored, whatever their names. A conversation, the result row, is what a task holds at a time.
     """
     rows = turns.select("conv_id", "turn", "role", "text").repartition(parts(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format(template, ["conv_id", "formatted", "loss"]), "conv_id long, formatted string, loss array<struct<b long, e long>>")
+    return rows.mapInArrow(_format(template, ["conv_id", "formatted", "loss"]), f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, formatted string, loss array<struct<b long, e long>>")
 
 
 def _digest(batches):
@@ -107,11 +108,11 @@ def _digest(batches):
             said = "".join(unescape(text[x["b"] : x["e"]]) for x in loss)
             rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(text)))
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What formatted conversations say when read back: turns and loss text as digests, and lengths in code points."""
-    return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(_digest, f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

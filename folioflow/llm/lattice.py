@@ -17,7 +17,7 @@ from folioflow.llm.components import components
 from folioflow.llm.windows import mix
 from folioflow.session import cut, parts
 
-COSINE, TABLES, SCALE, NEIGHBOURS, BLOCK = 0.98, 5, 4.0, 3, 512
+COSINE, TABLES, SCALE, NEIGHBOURS, BLOCK = 0.98, 5, 4.0, 3, 2048
 
 
 def _d8(x: np.ndarray) -> np.ndarray:

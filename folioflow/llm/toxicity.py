@@ -282,9 +282,14 @@ def mine(labelled: DataFrame, each: int = LABELLED, stems: int = STEMS) -> Lexic
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, each: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Model from bounded samples: labelled usable rows for the lexicons, any usable rows for the label model and the classifier."""
+    """Model from bounded samples: labelled usable rows for the lexicons, any usable rows for the label model and the classifier.
+
+    Null texts and labels other than 0 and 1 are left out; of several labels of a doc_id the greatest holds, and a null
+    doc_id meets none. Repeated texts count once. Columns besides doc_id, text and toxic are
+    ignored, whatever their names.
+    """
     spark = docs.sparkSession
-    usable_docs = docs.where(usable & F.col("text").isNotNull())
+    usable_docs = docs.where(usable & F.col("text").isNotNull()).select("doc_id", "text")
     # The labels are sampled before they meet the texts: at most about 2 * each rows, so no text is moved but theirs.
     known = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").agg(F.count(F.lit(1))).collect()}

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import langid, queries, suffix_tree, toxicity
 from folioflow.llm.split import held_out
@@ -49,6 +50,8 @@ def test_toxicity_odd_rows(spark, docs, no_docs):
         rows = toxicity.score(d, m).collect()
         assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(docs, toxicity.learn(docs, labels.limit(0), ~held_out())).count() == docs.count()
+    clashing = docs.withColumn("toxic", F.lit(7)).withColumn("quality", F.lit(None).cast("int"))
+    assert toxicity.score(clashing, toxicity.learn(clashing, labels, ~held_out())).count() == docs.count()
 
 
 def test_label_model_weighs_voters():
