@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,12 +12,15 @@ from folioflow.functions.text import graphemes, trim
 
 
 def distance(a: list, b: list) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(before + (x != y), 1 + min(row[j - 1], row[j]))
-    return row[-1]
+    """Edits between two sequences, a row of the table at a time."""
+    codes: dict = {}
+    left, right = (np.array([codes.setdefault(x, len(codes)) for x in seq], np.int64) for seq in (a, b))
+    steps = np.arange(len(right) + 1)
+    row = steps
+    for i, x in enumerate(left, 1):
+        best = np.minimum(row[:-1] + (right != x), row[1:] + 1)
+        row = np.minimum.accumulate(np.append(i, best) - steps) + steps
+    return int(row[-1])
 
 
 @F.pandas_udf(IntegerType())

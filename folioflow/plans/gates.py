@@ -104,8 +104,9 @@ def dictionary_words(d):
     """Words of all documents against a dictionary of the thousand commonest: known and unknown by language."""
     word = f"explode(split(lower(text), {d.s(chr(92) + 's+')}))" if d.spark else f"unnest(string_split_regex(lower(text), {d.s(chr(92) + 's+')}))"
     words = f"(SELECT lang, {word} AS w FROM documents)"
-    top = f"(SELECT w FROM (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS no FROM (SELECT w, count(*) AS n FROM {words} AS a GROUP BY w) AS b) AS c WHERE no <= 1000)"
-    return f"SELECT lang, {d.if_('t.w IS NOT NULL')} AS n_known, {d.if_('t.w IS NULL')} AS n_unknown FROM {words} AS x LEFT JOIN {top} AS t ON t.w = x.w GROUP BY lang"
+    counted = f"(SELECT lang, w, count(*) AS n FROM {words} AS a GROUP BY lang, w)"
+    top = f"(SELECT w FROM {counted} AS b GROUP BY w ORDER BY sum(n) DESC, w LIMIT 1000)"
+    return f"SELECT lang, CAST(sum(CASE WHEN t.w IS NULL THEN 0 ELSE n END) AS BIGINT) AS n_known, CAST(sum(CASE WHEN t.w IS NULL THEN n ELSE 0 END) AS BIGINT) AS n_unknown FROM {counted} AS x LEFT JOIN {top} AS t ON t.w = x.w GROUP BY lang"
 
 
 _SPANS = [(1, 0, 0, 1, 2, "head"), (1, 0, 2, 1, 1, "x"), (1, 1, 0, 2, 1, "down"), (1, 1, 1, 1, 1, "a"), (1, 1, 2, 1, 1, "b"), (1, 2, 1, 1, 2, "wide")]

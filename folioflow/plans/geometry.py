@@ -7,8 +7,9 @@ from folioflow.plans.dialect import both
 _BOX = "p_partkey AS id, CAST(floor(p_partkey / 12) AS BIGINT) AS page, (p_partkey * 53) % 37 * 1e0 AS x, (p_partkey * 29) % 23 * 1e0 AS y, 40e0 + p_partkey % 60 AS w, 20e0 + p_partkey % 40 AS h"
 
 
-def boxes(rest: int) -> str:
-    return f"(SELECT {_BOX} FROM part WHERE p_partkey % 3 = {rest})"
+def boxes(rest: int | None = None) -> str:
+    """All boxes, or by role: what was predicted (0), what is true (1), barcodes (2)."""
+    return f"(SELECT {_BOX} FROM part{'' if rest is None else f' WHERE p_partkey % 3 = {rest}'})"
 
 
 INTER = "greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
@@ -38,7 +39,7 @@ def overlap_antijoin(d):
 @both("duplicate_zones")
 def duplicate_zones(d):
     """Boxes that an earlier box of the page covers by at least 0.55 of the smaller one."""
-    return f"SELECT DISTINCT a.id FROM {boxes(0)} AS a JOIN {boxes(0)} AS b ON a.page = b.page AND b.id < a.id AND {SMALLER} >= 0.55"
+    return f"SELECT DISTINCT a.id FROM {boxes()} AS a JOIN {boxes()} AS b ON a.page = b.page AND b.id < a.id AND {SMALLER} >= 0.55"
 
 
 @both("barcode_nearest")
@@ -51,7 +52,7 @@ def barcode_nearest(d):
 @both("normalized_boxes")
 def normalized_boxes(d):
     """Boxes held within a page of 90 by 50, at least one unit wide and high."""
-    return f"SELECT id, x, y, greatest(1.0, least(x + w, 90e0) - x) AS w, greatest(1.0, least(y + h, 50e0) - y) AS h FROM {boxes(1)} AS a"
+    return f"SELECT id, x, y, greatest(1.0, least(x + w, 90e0) - x) AS w, greatest(1.0, least(y + h, 50e0) - y) AS h FROM {boxes()} AS a"
 
 
 @both("deduped_lines")

@@ -159,21 +159,21 @@ def csv_auto(spark, sf_dir):
 
 
 def _conversation_blocks(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").where("conv_id % 4 = 0")
+    t = table(spark, sf_dir, "conversations")
     return t.selectExpr(
         "concat(conv_id, '.docx') AS path", "1 AS page_no", "CAST(turn AS INT) AS block_no", "'text' AS type", "IF(role = 'user', 'heading', 'paragraph') AS role", "text", "0d AS x", "double(turn) AS y", "100d AS width", "20d AS height", "CAST(NULL AS STRING) AS src",
         "CAST(NULL AS INT) AS rows", "CAST(NULL AS INT) AS columns", f"CAST(NULL AS ARRAY<{files.CELL}>) AS cells",
     )
 
 
-@query("docx_roundtrip", "SELECT conv_id || '.docx' AS path, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(length(replace(text, chr(10), '')))::BIGINT AS n_chars FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id")
+@query("docx_roundtrip", "SELECT conv_id || '.docx' AS path, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(length(replace(text, chr(10), '')))::BIGINT AS n_chars FROM conversations GROUP BY conv_id")
 def docx_roundtrip(spark, sf_dir):
     """Conversations written as DOCX and read again: a paragraph to a line."""
     made = sinks.export(_conversation_blocks(spark, sf_dir), "docx")
     return files.parse_contents(made).groupBy("path").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("plain_text_export", "SELECT conv_id || '.docx' AS path, string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id")
+@query("plain_text_export", "SELECT conv_id || '.docx' AS path, string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def plain_text_export(spark, sf_dir):
     return sinks.export(_conversation_blocks(spark, sf_dir), "txt").select("path", F.decode("content", "utf-8").alias("text"))
 
@@ -199,6 +199,6 @@ def confidence_by_source(d):
 
 @both("text_metrics")
 def text_metrics(d):
-    """Character error rate of items against copies with each e made x, ASCII items only, as the engines count code points and bytes."""
+    """Character error rate of items against copies with each e made x."""
     made = "replace(text, 'e', 'x')"
-    return f"SELECT item_id, round(levenshtein({made}, text) * 1e0 / greatest(1, length(text)), 6) AS cer, {d.count('text', chr(92) + 'S+')} AS n_words FROM benchmark WHERE {d.has('text', '^[ -~' + chr(92) + 'n]*$')}"
+    return f"SELECT item_id, round(levenshtein({made}, text) * 1e0 / greatest(1, length(text)), 6) AS cer, {d.count('text', chr(92) + 'S+')} AS n_words FROM benchmark"

@@ -119,9 +119,9 @@ def gibberish_scores(d):
 
 @both("gibberish_lines")
 def gibberish_lines(d):
-    """Lines of all documents by what the noise rules make of them."""
-    lines = f"(SELECT doc_id AS id, s AS text, 0.9 AS confidence, true AS baseline, true AS fit FROM {d.lines('documents', 'doc_id')} AS l)"
-    return f"SELECT status, count(*) AS n FROM {gibberish(d, lines)} AS g GROUP BY status"
+    """Lines of all documents by what the noise rules make of them; each distinct line is judged once."""
+    lines = f"(SELECT count(*) AS id, s AS text, 0.9 AS confidence, true AS baseline, true AS fit FROM {d.lines('documents', 'doc_id')} AS l GROUP BY s)"
+    return f"SELECT status, CAST(sum(id) AS BIGINT) AS n FROM {gibberish(d, lines)} AS g GROUP BY status"
 
 
 @both("ocr_gibberish")

@@ -104,11 +104,13 @@ def row_consistency(d):
     return f"SELECT w.tbl, w.r, CASE WHEN w.width < m.expected THEN 'missing_cell' ELSE 'extra_cell' END AS issue, w.width AS actual, m.expected FROM {widths} AS w JOIN {median} AS m ON m.tbl = w.tbl WHERE w.width <> m.expected"
 
 
-def _duplicates(d) -> str:
-    """Cells whose text, case aside, a neighbour has too, by four equal joins."""
-    t = f"(SELECT *, lower({d.trim('coalesce(text, ' + d.s('') + ')')}) AS low FROM {cells(d)} AS x)"
-    sides = " UNION ALL ".join(f"SELECT tbl, r + {dr} AS r, c + {dc} AS c, low FROM {t} AS n{i}" for i, (dr, dc) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))))
-    return f"(SELECT t.tbl, t.r, t.c, count(*) AS n_neighbours, {d.if_('t.low <> ' + d.s('') + ' AND n.low = t.low')} AS n_equal FROM {t} AS t JOIN ({sides}) AS n ON n.tbl = t.tbl AND n.r = t.r AND n.c = t.c GROUP BY t.tbl, t.r, t.c)"
+def _duplicates(d, source: str | None = None, more: str = "") -> str:
+    """Cells with how many neighbours they have, and how many of those have the same text, case aside: two windows, along row and column."""
+    t = f"(SELECT *, lower({d.trim('coalesce(text, ' + d.s('') + ')')}) AS low FROM {source or cells(d)} AS x)"
+    beside = [("lag", "c", "r"), ("lead", "c", "r"), ("lag", "r", "c"), ("lead", "r", "c")]
+    near = ", ".join(f"CASE WHEN abs({f}({move}) OVER (PARTITION BY tbl, {keep} ORDER BY {move}) - {move}) = 1 THEN {f}(low) OVER (PARTITION BY tbl, {keep} ORDER BY {move}) END AS n{i}" for i, (f, move, keep) in enumerate(beside))
+    count = lambda cond: " + ".join(f"CASE WHEN {cond.format(f'n{i}')} THEN 1 ELSE 0 END" for i in range(4))
+    return f"(SELECT tbl, r, c{more}, CAST({count('{} IS NOT NULL')} AS BIGINT) AS n_neighbours, CAST({count('low <> ' + d.s('') + ' AND {} = low')} AS BIGINT) AS n_equal FROM (SELECT *, {near} FROM {t} AS t) AS s)"
 
 
 @both("cell_neighbours")
@@ -122,8 +124,9 @@ NUMERIC = {k: k for k in ("currency", "date", "decimal", "integer", "percentage"
 def _checked(d) -> str:
     """Cells with column type, reasons for contamination and whether they are empty."""
     mismatch = "CASE column_type " + " ".join(f"WHEN {d.s(k)} THEN NOT {d.has(digits('t'), P.STRICT[v])}" for k, v in NUMERIC.items()) + " ELSE false END"
-    return f"""(SELECT x.tbl, x.r, x.c, t, k.column_type, x.confidence, n.n_equal > 0 AS duplicate, x.confidence < 0.55 AS low, {mismatch} AS mismatch
-      FROM (SELECT *, {d.trim('coalesce(text, ' + d.s('') + ')')} AS t FROM {cells(d)} AS c0) AS x JOIN {column_types_of(d, cells(d), 'tbl')} AS k ON k.tbl = x.tbl AND k.c = x.c JOIN {_duplicates(d)} AS n ON n.tbl = x.tbl AND n.r = x.r AND n.c = x.c)"""
+    trimmed = f"(SELECT *, {d.trim('coalesce(text, ' + d.s('') + ')')} AS t FROM {cells(d)} AS c0)"
+    return f"""(SELECT n.tbl, n.r, n.c, t, k.column_type, n.confidence, n.n_equal > 0 AS duplicate, n.confidence < 0.55 AS low, {mismatch} AS mismatch
+      FROM {_duplicates(d, trimmed, ', t, confidence')} AS n JOIN {column_types_of(d, cells(d), 'tbl')} AS k ON k.tbl = n.tbl AND k.c = n.c)"""
 
 
 @both("cell_contamination")

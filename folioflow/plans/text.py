@@ -61,9 +61,10 @@ TOKENS_SQL = f"SELECT lang, unnest({ALL('text', P.TOKEN)}) AS token FROM documen
 
 @query("flagship", f"WITH t AS ({TOKENS_SQL}) SELECT lang, {type_sql(TRIM('token'))} AS token_type, count(*) AS n_tokens, sum(length(token)) AS n_chars FROM t GROUP BY ALL")
 def token_types(spark, sf_dir):
-    """Tokens of all documents by language and type."""
+    """Tokens of all documents by language and type; each distinct token is classified once."""
     t = table(spark, sf_dir, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("token"))
-    return t.groupBy("lang", T.token_type(F.col("token")).alias("token_type")).agg(F.count("*").alias("n_tokens"), F.sum(F.length("token")).cast("long").alias("n_chars"))
+    t = t.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return t.groupBy("lang", T.token_type(F.col("token")).alias("token_type")).agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.length("token")).cast("long").alias("n_chars"))
 
 
 @query("token_samples", f"SELECT id, i AS no, token, {type_sql(TRIM('token'))} AS token_type FROM (SELECT id, unnest({ALL('text', P.TOKEN)}) AS token, generate_subscripts({ALL('text', P.TOKEN)}, 1) - 1 AS i FROM {SAMPLE_SQL})")
