@@ -6,7 +6,7 @@ import numpy as np
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
-    return rgb if rgb.ndim == 2 else np.rint(rgb[..., 0] * 0.299 + rgb[..., 1] * 0.587 + rgb[..., 2] * 0.114).astype(np.uint8)
+    return rgb if rgb.ndim == 2 else np.floor(rgb[..., 0] * 0.299 + rgb[..., 1] * 0.587 + rgb[..., 2] * 0.114 + 0.5).astype(np.uint8)
 
 
 def otsu(g: np.ndarray, low: int = 0, high: int = 255, default: int = 160) -> int:
@@ -83,6 +83,16 @@ def mean_threshold(g: np.ndarray, below: float = 8) -> np.ndarray:
     return np.where(g < g.mean() - below, 0, 255).astype(np.uint8)
 
 
+def text_mask(g: np.ndarray, away: float = 28) -> np.ndarray:
+    """Black where a pixel is well under the mean, white elsewhere."""
+    return np.where(g < g.mean() - away, 0, 255).astype(np.uint8)
+
+
+def dark_near(dark: np.ndarray, radius: int = 1) -> np.ndarray:
+    """Share of dark pixels in the square around each pixel, as far as it lies in the image."""
+    return box_mean(dark.astype(float), radius)
+
+
 def contrast(g: np.ndarray, gain: float = 1.4, bright: float = 1.0) -> np.ndarray:
     return _u8((g * bright - 128.0) * gain + 128)
 
