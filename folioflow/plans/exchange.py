@@ -213,3 +213,84 @@ def image_archives(spark, sf_dir):
             yield pd.DataFrame(out, columns=["path", "name", "n_bytes"])
 
     return sinks.zip_images(pages).mapInPandas(names, "path string, name string, n_bytes long")
+
+
+_W = 'xmlns:w="urn:w" xmlns:a="urn:a" xmlns:r="urn:r" xmlns:wp="urn:wp"'
+
+
+def _styled_docx(pages) -> bytes:
+    """A paragraph to a turn: the role in bold, coloured and larger, then the text's first line in italics; a picture follows."""
+    body, parts, links = "", {}, ""
+    for no, head, text in pages:
+        props = ('<w:pStyle w:val="Heading1"/>' if head == "user" else "") + ('<w:jc w:val="center"/>' if no % 2 else "")
+        body += f'<w:p><w:pPr>{props}</w:pPr><w:r><w:rPr><w:b/><w:color w:val="{"auto" if no % 3 == 0 else "A1B2C3"}"/><w:sz w:val="{24 + no % 4 * 12}"/></w:rPr><w:t>{escape(head)}</w:t></w:r><w:r><w:rPr><w:i/><w:u/></w:rPr><w:tab/><w:t>{escape(text.split(chr(10))[0])}</w:t></w:r></w:p>'
+        body += f'<w:p><w:r><w:drawing><wp:extent cx="{952500 * (1 + no % 2)}" cy="9525"/><a:blip r:embed="rId{no}"/></w:drawing></w:r></w:p>'
+        parts[f"word/media/image{no}.png"] = text
+        links += f'<Relationship Id="rId{no}" Target="media/image{no}.png"/>'
+    return _archive({"word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": f"<Relationships>{links}</Relationships>"} | parts)
+
+
+@query(
+    "docx_styles",
+    """SELECT conv_id || '.docx' AS path, count(*)::BIGINT AS n_blocks, count(*) FILTER (WHERE role = 'user')::BIGINT AS n_headings, count(*) FILTER (WHERE turn % 2 = 1)::BIGINT AS n_centred, count(*)::BIGINT AS n_bold, count(*) FILTER (WHERE turn % 3 <> 0)::BIGINT AS n_coloured,
+    round(sum(CASE WHEN role = 'user' THEN greatest(22.0, (24 + turn % 4 * 12) / 2.0 * 96 / 72) ELSE (24 + turn % 4 * 12) / 2.0 * 96 / 72 END)::DOUBLE, 4) AS sizes, 2 * count(*)::BIGINT AS n_spans, count(*)::BIGINT AS n_italic FROM conversations GROUP BY conv_id""",
+)
+def docx_styles(spark, sf_dir):
+    """Emphasis, sizes, colours and alignment of paragraphs and their runs, as a word file has them."""
+    b = files.parse_contents(_made(_conversations(spark, sf_dir, "docx"), _styled_docx)).where("type = 'text'")
+    s = F.col("style")
+    return b.groupBy("path").agg(
+        F.count("*").alias("n_blocks"), F.count_if(F.col("role") == "heading").alias("n_headings"), F.count_if(s["textAlign"] == "center").alias("n_centred"), F.count_if(s["fontWeight"] == "700").alias("n_bold"), F.count_if(s["color"] == "#A1B2C3").alias("n_coloured"), F.round(F.sum(s["fontSize"].cast("double")), 4).alias("sizes"),
+        F.sum(F.size("spans")).alias("n_spans"), F.sum(F.size(F.filter("spans", lambda x: x["style"]["fontStyle"] == "italic"))).alias("n_italic"),
+    )
+
+
+@query("docx_images", "SELECT conv_id || '.docx' AS path, 'image' || turn || '.png' AS name, (100 * (1 + turn % 2))::DOUBLE AS width, 60.0::DOUBLE AS height, octet_length(encode(text))::BIGINT AS n_bytes FROM conversations")
+def docx_images(spark, sf_dir):
+    """Pictures of word files with their boxes and bytes."""
+    b = files.parse_contents(_made(_conversations(spark, sf_dir, "docx"), _styled_docx)).where("type = 'image'")
+    return b.select("path", F.col("text").alias("name"), "width", "height", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def _styled_pptx(pages) -> bytes:
+    def shape(no, head):
+        run = f'<a:rPr sz="{1200 + no % 5 * 300}" b="{no % 2}" i="{no % 3 % 2}"><a:solidFill><a:srgbClr val="{"0a0B0c" if no % 4 else "red"}"/></a:solidFill></a:rPr>'
+        return f'<p:sp><p:txBody><a:p><a:pPr algn="{("l", "ctr", "r", "just")[no % 4]}"/><a:r>{run}<a:t>{escape(head)}</a:t></a:r></a:p></p:txBody></p:sp>'
+
+    return _archive({"ppt/presentation.xml": f"<p:presentation {_A}/>"} | {f"ppt/slides/slide{i}.xml": f"<p:sld {_A}>{shape(no, head)}</p:sld>" for i, (no, head, _) in enumerate(pages, 1)})
+
+
+@query(
+    "pptx_styles",
+    """SELECT conv_id || '.pptx' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS page_no, round(((1200 + turn % 5 * 300) / 100.0 * 96 / 72)::DOUBLE, 4) AS font_size, turn % 2 = 1 AS bold, turn % 3 = 1 AS italic, CASE WHEN turn % 4 = 0 THEN '#111827' ELSE '#0a0B0c' END AS colour,
+    ['left', 'center', 'right', 'justify'][turn % 4 + 1] AS align FROM conversations""",
+)
+def pptx_styles(spark, sf_dir):
+    """Size, emphasis, colour and alignment of the texts of slides."""
+    b, s = files.parse_contents(_made(_conversations(spark, sf_dir, "pptx"), _styled_pptx)), F.col("style")
+    return b.select("path", "page_no", F.round(s["fontSize"].cast("double"), 4).alias("font_size"), (s["fontWeight"] == "700").alias("bold"), (s["fontStyle"] == "italic").alias("italic"), s["color"].alias("colour"), s["textAlign"].alias("align"))
+
+
+def _styled_xlsx(pages) -> bytes:
+    """A row to a turn with a cell in each of four formats."""
+    fonts = '<font/><font><b/><sz val="12"/><color rgb="FFA1B2C3"/></font><font><i/><u/></font>'
+    formats = '<xf/><xf fontId="1" fillId="1"/><xf fontId="2" borderId="1"/><xf><alignment horizontal="right" vertical="top"/></xf>'
+    styles = f'<styleSheet><fonts>{fonts}</fonts><fills><fill/><fill><patternFill><fgColor rgb="FF00FF7F"/></patternFill></fill></fills><borders><border/><border><top style="thin"/><left/></border></borders><cellXfs>{formats}</cellXfs></styleSheet>'
+    cell = lambda r, c, text: f'<c r="{"ABCD"[c]}{r}" s="{c}" t="inlineStr"><is><t>{escape(text)}</t></is></c>'
+    rows = "".join(f"<row r=\"{i}\">{''.join(cell(i, c, head) for c in range(4))}</row>" for i, (_, head, _) in enumerate(pages, 1))
+    return _archive({
+        "xl/workbook.xml": '<workbook xmlns:r="urn:r"><sheets><sheet name="turns" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>", "xl/styles.xml": styles,
+    })
+
+
+@query(
+    "xlsx_styles",
+    """WITH t AS (SELECT conv_id || '.xlsx' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT - 1 AS "row" FROM conversations)
+    SELECT path, "row", c::INT AS "column", c = 1 OR "row" = 0 AS bold, c = 2 AS italic, CASE WHEN c = 1 THEN 16.0 ELSE 14.0 END::DOUBLE AS font_size, CASE WHEN c = 1 THEN '#A1B2C3' ELSE '#111827' END AS colour, CASE WHEN c = 1 THEN '#00FF7F' WHEN "row" = 0 THEN '#e2e8f0' ELSE '#ffffff' END AS ground,
+    CASE WHEN c = 3 THEN 'right' WHEN "row" = 0 THEN 'center' ELSE 'left' END AS align, CASE WHEN c = 3 THEN 'top' ELSE 'middle' END AS valign, c = 2 AS top_line FROM (SELECT path, "row", unnest([0, 1, 2, 3]) AS c FROM t) AS u""",
+)
+def xlsx_styles(spark, sf_dir):
+    """Formats of the cells of workbooks; the first row is a header."""
+    b, s = files.cell_styles(_made(_conversations(spark, sf_dir, "xlsx"), _styled_xlsx)), F.col("style")
+    return b.select("path", "row", "column", (s["fontWeight"] == "700").alias("bold"), (s["fontStyle"] == "italic").alias("italic"), s["fontSize"].cast("double").alias("font_size"), s["color"].alias("colour"), s["backgroundColor"].alias("ground"), s["textAlign"].alias("align"), s["verticalAlign"].alias("valign"), (s["borderTop"] == "1px solid #64748b").alias("top_line"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.sources.parsers import PARSERS, ParseError, parse
+from folioflow.sources.parsers import PARSERS, ParseError, parse, xlsx_cell_styles
 
 CELL = "struct<row int, column int, row_span int, column_span int, text string, hidden boolean>"
-BLOCKS = f"path string, page_no int, page_name string, page_width double, page_height double, block_no int, type string, role string, text string, x double, y double, width double, height double, overflow boolean, src string, rows int, columns int, cells array<{CELL}>, error string"
+BLOCKS = f"path string, page_no int, page_name string, page_width double, page_height double, block_no int, type string, role string, text string, x double, y double, width double, height double, overflow boolean, src string, rows int, columns int, cells array<{CELL}>, style map<string,string>, spans array<struct<text string, style map<string,string>>>, content binary, error string"
 #: Files larger than this are refused.
 LIMIT = 50 << 20
 
@@ -17,11 +17,16 @@ def supported(path: Column) -> Column:
     return F.lower(F.element_at(F.split(path, r"\."), -1)).isin(*PARSERS)
 
 
+def _style(x: dict | None) -> dict | None:
+    return None if x is None else {k: str(v) for k, v in x.items()}
+
+
 def _row(path: str, page_no: int | None, page: dict, block_no: int | None, b: dict, error: str | None) -> dict:
     num = lambda k: None if b.get(k) is None else float(b[k])
     return {
         "path": path, "page_no": page_no, "page_name": page.get("name"), "page_width": page.get("width"), "page_height": page.get("height"), "block_no": block_no, "type": b.get("type"), "role": b.get("role"), "text": b.get("text"), "x": num("x"), "y": num("y"),
-        "width": num("width"), "height": num("height"), "overflow": bool(b.get("overflow", False)), "src": b.get("src"), "rows": b.get("rows"), "columns": b.get("columns"), "cells": b.get("cells"), "error": error,
+        "width": num("width"), "height": num("height"), "overflow": bool(b.get("overflow", False)), "src": b.get("src"), "rows": b.get("rows"), "columns": b.get("columns"), "cells": b.get("cells"),
+        "style": _style(b.get("style")), "spans": None if b.get("spans") is None else [{"text": x.get("text"), "style": _style(x.get("style"))} for x in b["spans"]], "content": b.get("content"), "error": error,
     }
 
 
@@ -60,3 +65,16 @@ def read(spark: SparkSession, path: str, limit: int = LIMIT) -> tuple[DataFrame,
     parsed = parse_contents(files.where(fine))
     refused = files.where(~fine).select("path", F.when(F.col("length") > limit, "too_large").otherwise("unsupported").alias("reason"))
     return parsed.where("error IS NULL").drop("error"), refused.unionByName(parsed.where("error IS NOT NULL").select("path", F.col("error").alias("reason")))
+
+
+def cell_styles(files: DataFrame) -> DataFrame:
+    """(path, content) of workbooks to (path, sheet, row, column, style) of their cells."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(path, x["sheet"], x["row"], x["column"], _style(x["style"])) for path, content in zip(f["path"], f["content"], strict=True) for x in xlsx_cell_styles(bytes(content))]
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "column", "style"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, sheet string, row int, column int, style map<string,string>")

@@ -61,11 +61,11 @@ class Flow:
         self.pages[-1]["blocks"].append({"x": self.margins["left"], "y": self.y, "width": block.pop("width", self.width), "height": height, "overflow": over, **block})
         self.y += height + gap
 
-    def text(self, text: str, role: str = "paragraph", size: float | None = None) -> None:
+    def text(self, text: str, role: str = "paragraph", size: float | None = None, **more) -> None:
         text = text.rstrip()
         if text:
             size = size or (28.0 if role == "heading" else 16.0)
-            self.put(text_height(text, size, self.width), 16 if role == "heading" else 8, type=role if role in ("header", "footer") else "text", role=role, text=text)
+            self.put(text_height(text, size, self.width), 16 if role == "heading" else 8, type=role if role in ("header", "footer") else "text", role=role, text=text, **more)
 
     def table(self, rows: int, columns: int, cells: list[dict], line: float = 40.0) -> None:
         self.put(max(80.0, rows * line), 14, type="table", role="table", text="", rows=rows, columns=columns, cells=cells)
@@ -320,8 +320,42 @@ def _open(raw: bytes, part: str) -> tuple[zipfile.ZipFile, ElementTree.Element]:
     return z, root
 
 
+def _run_text(r: ElementTree.Element) -> str:
+    return "".join((x.text or "") if tag(x) == "t" else {"tab": "\t", "br": "\n"}.get(tag(x), "") for x in r)
+
+
 def _runs(p: ElementTree.Element) -> str:
-    return "".join((x.text or "") if tag(x) == "t" else {"tab": "\t", "br": "\n"}.get(tag(x), "") for r in kids(p, "r") for x in r)
+    return "".join(map(_run_text, kids(p, "r")))
+
+
+DARK = "#111827"
+
+
+def hex_colour(x: str, default: str = DARK) -> str:
+    bare = x.removeprefix("#").strip()
+    return f"#{bare}" if re.fullmatch("[0-9A-Fa-f]{6}", bare) else default
+
+
+def docx_run_style(run: ElementTree.Element) -> dict:
+    """Emphasis, size in pixels and colour of a run."""
+    props = first(run, "rPr")
+    size, colour = number(attr(first(props, "sz"), "val")), attr(first(props, "color"), "val")
+    return {
+        "fontWeight": 400 if first(props, "b") is None else 700, "fontStyle": "normal" if first(props, "i") is None else "italic", "textDecoration": "none" if first(props, "u") is None else "underline",
+        "fontSize": size / 2 * 96 / 72 if size else 16.0, "color": hex_colour(colour) if colour != "auto" else DARK,
+    }
+
+
+def docx_paragraph(node: ElementTree.Element) -> dict:
+    """Text, role, style and spans of a paragraph; its style is that of its first run, larger and bold in a heading."""
+    spans = [{"text": t, "style": docx_run_style(r)} for r in kids(node, "r") if (t := _run_text(r))]
+    props = next(iter(kids(node, "pPr")), None)
+    heading = re.match(r"(?i)heading|หัวข้อ", attr(first(props, "pStyle"), "val")) is not None
+    style = dict(spans[0]["style"]) if spans else {}
+    if heading:
+        style |= {"fontSize": max(22.0, style.get("fontSize", 24.0)), "fontWeight": 700}
+    style["textAlign"] = {"center": "center", "right": "right", "both": "justify"}.get(attr(first(props, "jc"), "val"), "left")
+    return {"text": "".join(x["text"] for x in spans), "spans": spans, "role": "heading" if heading else "paragraph", "style": style}
 
 
 def docx_table(node: ElementTree.Element) -> tuple[int, int, list[dict]]:
@@ -360,11 +394,9 @@ def docx_pages(raw: bytes, name: str, strict: bool = False) -> list[dict]:
             if path := links.get(attr(blip, "embed")):
                 box = first(node, "extent")
                 width, height = (max(least, number(attr(box, k)) / 9525 or d) for k, least, d in (("cx", 80, 240), ("cy", 60, 160)))
-                flow.put(height, 10, type="image", role="image", text=path.rsplit("/", 1)[-1], width=min(width, flow.width), src=path)
-        heading = re.match(r"(?i)heading|หัวข้อ", attr(first(next(iter(kids(node, "pPr")), None), "pStyle"), "val"))
-        sizes = [number(attr(first(p, "sz"), "val")) / 2 * 96 / 72 for p in below(node, "rPr") if first(p, "sz") is not None]
-        size = sizes[0] if sizes else (24.0 if heading else 16.0)
-        flow.text(_runs(node), "heading" if heading else "paragraph", max(22.0, size) if heading else size)
+                flow.put(height, 10, type="image", role="image", text=path.rsplit("/", 1)[-1], width=min(width, flow.width), src=path, content=_part(z, path))
+        p = docx_paragraph(node)
+        flow.text(p["text"], p["role"], p["style"].get("fontSize", 16.0), style=p["style"], spans=p["spans"])
     return flow.pages
 
 
@@ -413,6 +445,49 @@ def xlsx_pages(raw: bytes, name: str) -> list[dict]:
     return pages
 
 
+def _part(z: zipfile.ZipFile, path: str) -> bytes | None:
+    """The bytes of a part, if the archive has it."""
+    try:
+        return z.read(path)
+    except KeyError:
+        return None
+
+
+def xlsx_cell_styles(raw: bytes, header: int | None = 0) -> list[dict]:
+    """(sheet, row, column, style) of the cells of a workbook; the row ``header`` is bold, centred and shaded unless it says otherwise."""
+    z, book = _open(raw, "xl/workbook.xml")
+    links, sheet_styles = relations(z, "xl/workbook.xml"), xml_part(z, "xl/styles.xml")
+    part = lambda *names: kids(next(iter(below(sheet_styles, names[0])), None), *names[1:])
+    fonts, fills, borders, formats = part("fonts", "font"), part("fills", "fill"), part("borders", "border"), part("cellXfs", "xf")
+    nth = lambda items, x: items[int(x)] if x.isdigit() and int(x) < len(items) else None
+    out = []
+    for sheet in below(book, "sheet"):
+        for c in below(xml_part(z, links.get(attr(sheet, "id"), "")), "c"):
+            row = int(re.search(r"\d+", attr(c, "r"))[0]) - 1
+            top, f = row == header, nth(formats, attr(c, "s", "0"))
+            font, fill, border, place = nth(fonts, attr(f, "fontId")), nth(fills, attr(f, "fillId")), nth(borders, attr(f, "borderId")), first(f, "alignment")
+            size, colour = number(attr(first(font, "sz"), "val")), attr(first(font, "color"), "rgb")
+            ground = attr(first(fill, "fgColor"), "rgb") or attr(first(fill, "bgColor"), "rgb")
+            line = lambda side: "1px solid " + ("#64748b" if attr(first(border, side), "style") else "#cbd5e1")  # noqa: E731, B023
+            out.append({"sheet": attr(sheet, "name"), "row": row, "column": _column(attr(c, "r")), "style": {
+                "fontWeight": 700 if top or first(font, "b") is not None else 400, "fontStyle": "normal" if first(font, "i") is None else "italic", "textDecoration": "none" if first(font, "u") is None else "underline", "fontSize": size * 96 / 72 if size else 14.0,
+                "color": hex_colour(colour[-6:]) if colour else DARK, "backgroundColor": hex_colour(ground[-6:], "#ffffff") if ground else "#e2e8f0" if top else "#ffffff", "textAlign": attr(place, "horizontal") or ("center" if top else "left"), "verticalAlign": attr(place, "vertical") or "middle",
+                **{f"border{side.capitalize()}": line(side) for side in ("top", "right", "bottom", "left")},
+            }})
+    return out
+
+
+def pptx_text_style(shape: ElementTree.Element) -> dict:
+    """Size in pixels, emphasis, colour and alignment of a shape's text."""
+    run = first(shape, "rPr")
+    run = first(shape, "defRPr") if run is None else run
+    size, colour = number(attr(run, "sz")), attr(first(first(run, "solidFill"), "srgbClr", "schemeClr"), "val")
+    return {
+        "fontSize": size / 100 * 96 / 72 if size else 22.0, "fontWeight": 700 if attr(run, "b") == "1" else 400, "fontStyle": "italic" if attr(run, "i") == "1" else "normal", "color": hex_colour(colour),
+        "textAlign": {"ctr": "center", "r": "right", "just": "justify"}.get(attr(first(shape, "pPr"), "algn"), "left"),
+    }
+
+
 def pptx_pages(raw: bytes, name: str) -> list[dict]:
     z, root = _open(raw, "ppt/presentation.xml")
     size = first(root, "sldSz")
@@ -431,10 +506,10 @@ def pptx_pages(raw: bytes, name: str) -> list[dict]:
         for shape in below(slide, "sp"):
             text = re.sub(r"\n{3,}", "\n\n", "\n".join(t.text or "" for t in below(shape, "t"))).strip()
             if text:
-                blocks.append({"type": "text", "role": "heading" if first(shape, "title") is not None else "paragraph", "text": text, **box(shape)})
+                blocks.append({"type": "text", "role": "heading" if first(shape, "title") is not None else "paragraph", "text": text, "style": pptx_text_style(shape), **box(shape)})
         for pic in below(slide, "pic"):
             if src := links.get(attr(first(pic, "blip"), "embed")):
-                blocks.append({"type": "image", "role": "image", "text": src.rsplit("/", 1)[-1], "src": src, **box(pic)})
+                blocks.append({"type": "image", "role": "image", "text": src.rsplit("/", 1)[-1], "src": src, "content": _part(z, src), **box(pic)})
         blocks += [{"type": "line", "role": "shape", "text": "", **box(line)} for line in below(slide, "cxnSp")]
         pages.append({"name": f"{i}", "width": width, "height": height, "blocks": blocks})
     return pages
