@@ -294,3 +294,33 @@ def xlsx_styles(spark, sf_dir):
     """Formats of the cells of workbooks; the first row is a header."""
     b, s = files.cell_styles(_made(_conversations(spark, sf_dir, "xlsx"), _styled_xlsx)), F.col("style")
     return b.select("path", "row", "column", (s["fontWeight"] == "700").alias("bold"), (s["fontStyle"] == "italic").alias("italic"), s["fontSize"].cast("double").alias("font_size"), s["color"].alias("colour"), s["backgroundColor"].alias("ground"), s["textAlign"].alias("align"), s["verticalAlign"].alias("valign"), (s["borderTop"] == "1px solid #64748b").alias("top_line"))
+
+
+@query(
+    "docx_placed",
+    """SELECT conv_id || '.docx' AS path, count(*)::BIGINT AS n_frames, sum(floor((turn + 1) / 2) * 10 * 0.75)::DOUBLE AS lefts, sum(turn * 4 * 0.75)::DOUBLE AS tops, coalesce(sum(len(string_split(text, chr(10)))) FILTER (WHERE turn % 4 = 1), 0)::BIGINT AS n_bold, coalesce(sum(len(string_split(text, chr(10))) * floor((12 + turn % 5) * 1.5 + 0.5)) FILTER (WHERE turn % 4 <> 3), 0)::BIGINT AS half_points, count(*) FILTER (WHERE turn % 4 = 3)::BIGINT AS n_images, sum(CASE WHEN turn % 4 = 3 THEN octet_length(encode(text)) ELSE 0 END)::BIGINT AS n_bytes FROM conversations GROUP BY conv_id""",
+)
+def docx_placed(spark, sf_dir):
+    """Conversations as word files of placed frames, told by their markup: places, marks, sizes, pictures."""
+    t = table(spark, sf_dir, "conversations").selectExpr(
+        "concat(conv_id, '.docx') AS path", "1 AS page_no", "CAST(turn AS INT) AS block_no", "IF(turn % 4 = 3, 'image', 'text') AS type", "role", "text", "double((turn + 1) div 2 * 10) AS x", "double(turn * 4) AS y", "100d AS width", "20d AS height", "'a.png' AS src", "CAST(NULL AS INT) AS rows", "CAST(NULL AS INT) AS columns",
+        f"CAST(NULL AS ARRAY<{files.CELL}>) AS cells", "map('fontWeight', IF(turn % 2 = 1, '700', '400'), 'fontSize', CAST(12 + turn % 5 AS STRING), 'color', '#a1b2c3') AS style", "IF(turn % 4 = 3, encode(text, 'utf-8'), NULL) AS content",
+    )
+
+    def look(frames):
+        import re
+
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                z = zipfile.ZipFile(io.BytesIO(content))
+                xml = z.read("word/document.xml").decode()
+                number = lambda name: sum(map(float, re.findall(name + r":([\d.]+)pt", xml)))  # noqa: E731, B023
+                images = [i.file_size for i in z.infolist() if i.filename.startswith("word/media/")]
+                halves = [int(run.group(1)) for run in re.finditer(r'<w:sz w:val="(\d+)"', xml)]
+                out.append((path, xml.count("<v:rect"), number("margin-left"), number("margin-top"), xml.count("<w:b/>"), sum(halves), len(images), sum(images)))
+            yield pd.DataFrame(out, columns=["path", "n_frames", "lefts", "tops", "n_bold", "half_points", "n_images", "n_bytes"])
+
+    return sinks.export(t, "docx-original").mapInPandas(look, "path string, n_frames long, lefts double, tops double, n_bold long, half_points long, n_images long, n_bytes long")

@@ -251,13 +251,17 @@ def block_type(d, t: str) -> str:
       WHEN length({t}) >= 70 OR {d.has(t, ENDED)} THEN 'paragraph' WHEN p = 'title' OR (y < 0.32 AND (h > 0.035 OR length({t}) < 80)) THEN 'title' ELSE 'unknown' END"""
 
 
+def language(d, kind: str, text: str) -> str:
+    """The language to read a block in: names are Thai, codes are numbers, else by the letters there are, Thai if in doubt."""
+    thai, latin = d.has(text, f"[{P.THAI}]"), d.has(text, "[A-Za-z]")
+    return f"""CASE WHEN {kind} IN ('person_name', 'school_name', 'organization_name', 'class_level') THEN 'tha' WHEN {kind} = 'barcode' THEN 'barcode' WHEN {kind} IN ('isbn', 'phone', 'price') THEN 'number'
+      WHEN {latin} AND ({thai} OR {kind} IN ('address', 'publisher_info')) THEN 'tha+eng' WHEN {thai} OR NOT {latin} OR {kind} IN ('title', 'paragraph', 'numbered_list', 'address', 'publisher_info') THEN 'tha' ELSE 'eng' END"""
+
+
 @both("block_types")
 def block_types(d):
     """Type of each block and the language to read it in."""
-    thai, latin = d.has("t", f"[{P.THAI}]"), d.has("t", "[A-Za-z]")
-    language = f"""CASE WHEN type IN ('person_name', 'school_name', 'organization_name', 'class_level') THEN 'tha' WHEN type IN ('isbn', 'phone', 'price') THEN 'number' WHEN type IN ('address', 'publisher_info') AND {latin} THEN 'tha+eng'
-      WHEN {thai} AND {latin} THEN 'tha+eng' WHEN {thai} OR type IN ('address', 'numbered_list', 'publisher_info', 'paragraph', 'title') THEN 'tha' WHEN {latin} THEN 'eng' ELSE 'tha' END"""
-    return f"SELECT id, p AS protected, type, {language} AS language FROM (SELECT *, {block_type(d, 't')} AS type FROM (SELECT *, {protected(d, 't')} AS p FROM (SELECT id, y, h, {d.trim('text')} AS t FROM {values(d, BLOCKS, 'id, text, y, h')} AS a) AS b) AS c) AS e"
+    return f"SELECT id, p AS protected, type, {language(d, 'type', 't')} AS language FROM (SELECT *, {block_type(d, 't')} AS type FROM (SELECT *, {protected(d, 't')} AS p FROM (SELECT id, y, h, {d.trim('text')} AS t FROM {values(d, BLOCKS, 'id, text, y, h')} AS a) AS b) AS c) AS e"
 
 
 DASHES = [(1, "-", "A-1"), (2, "–", "10–20"), (3, "—", "word — word"), (4, "−", "5 − 3"), (5, "_", "a_b"), (6, "/", "1/2"), (7, "|", "x|y"), (8, "----", "----"), (9, "====", "===="), (10, "-", "2563-2564"), (11, "-", "AB12-34")]

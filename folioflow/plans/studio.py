@@ -5,9 +5,8 @@ A conversation stands for a document and its turns for pages; parts stand for bo
 
 from __future__ import annotations
 
-from folioflow.functions import patterns as P
 from folioflow.plans.dialect import both, values
-from folioflow.plans.regions import features
+from folioflow.plans.regions import features, language
 from folioflow.plans.tables import cells, clean
 
 PAGES = "(SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
@@ -17,13 +16,6 @@ TYPES = ["person_name", "school_name", "organization_name", "class_level", "barc
 TEXTS = ["สวัสดี", "Hello there", "ห้อง A12", "0 2123 4567", "", "ถนน Main"]
 
 
-def language(d, kind: str, text: str) -> str:
-    """The language to read a block in: names are Thai, codes are numbers, else by the letters there are, Thai if in doubt."""
-    thai, latin = d.has(text, f"[{P.THAI}]"), d.has(text, "[A-Za-z]")
-    return f"""CASE WHEN {kind} IN ('person_name', 'school_name', 'organization_name', 'class_level') THEN 'tha' WHEN {kind} = 'barcode' THEN 'barcode' WHEN {kind} IN ('isbn', 'phone', 'price') THEN 'number'
-      WHEN {latin} AND ({thai} OR {kind} IN ('address', 'publisher_info')) THEN 'tha+eng' WHEN {thai} OR NOT {latin} OR {kind} IN ('title', 'paragraph', 'numbered_list', 'address', 'publisher_info') THEN 'tha' ELSE 'eng' END"""
-
-
 @both("block_languages")
 def block_languages(d):
     """Languages of all types of block, and of the regions of all pages."""

@@ -71,7 +71,7 @@ def html(pages: list[list[dict]], title: str = "") -> str:
     return f"<!doctype html><html><head><meta charset=utf-8><title>{escape(title)}</title></head><body>" + "".join('<section style="position:relative">' + "".join(map(one, p)) + "</section>" for p in pages) + "</body></html>"
 
 
-def _zip(parts: dict[str, str]) -> bytes:
+def _zip(parts: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
@@ -136,6 +136,55 @@ def docx(pages: list[list[dict]]) -> bytes:
     return _zip(_package("word/document.xml", f"{_MIME}.wordprocessingml.document.main+xml") | {"word/document.xml": xml})
 
 
+def _points(px: float | None) -> str:
+    return f"{max(0.0, px or 0.0) * 0.75:g}"
+
+
+def _placed(b: dict) -> str:
+    """Style of a shape that stands where the block stands on its page."""
+    size = lambda v: f"{max(0.75, (v or 0.0) * 0.75):g}"
+    return ";".join([
+        "position:absolute", f"margin-left:{_points(b['x'])}pt", f"margin-top:{_points(b['y'])}pt", f"width:{size(b['width'])}pt", f"height:{size(b['height'])}pt", "mso-position-horizontal-relative:page", "mso-position-vertical-relative:page",
+    ])
+
+
+def _run_props(style: dict | None) -> str:
+    """Run properties for a style: marks, colour, half points; nothing for no style."""
+    if not style:
+        return ""
+    bare = (style.get("color") or "").removeprefix("#")
+    colour = bare.upper() if len(bare) == 6 and all(c in "0123456789abcdefABCDEF" for c in bare) else "111827"
+    marks = ("<w:b/>" if float(style.get("fontWeight") or 400) >= 600 else "") + ("<w:i/>" if style.get("fontStyle") == "italic" else "") + ('<w:u w:val="single"/>' if style.get("textDecoration") == "underline" else "")
+    half = int(max(8.0, float(style.get("fontSize") or 16)) * 1.5 + 0.5)
+    return f'<w:rPr>{marks}<w:color w:val="{colour}"/><w:sz w:val="{half}"/><w:szCs w:val="{half}"/></w:rPr>'
+
+
+def docx_placed(pages: list[list[dict]]) -> bytes:
+    """Every block in a frame of its own at its place on the page; texts keep their style, pictures their bytes, a section to a page."""
+    body, images = [], {}
+
+    def frame(b: dict) -> str:
+        if b["type"] == "image" and b.get("content"):
+            n = len(images) + 1
+            images[f"word/media/image{n}.{(b['src'] or 'x.png').rsplit('.', 1)[-1]}"] = bytes(b["content"])
+            inner = f'<v:imagedata r:id="rIdImage{n}"/>'
+        elif b["type"] in ("shape", "line"):
+            inner = ""
+        else:
+            texts = ["\t".join(row) for row in matrix(b)] if b["type"] == "table" else (b["text"] or " ").split("\n")
+            inner = "<v:textbox><w:txbxContent>" + "".join(_paragraph(f'{_run_props(b.get("style"))}<w:t xml:space="preserve">{_x(t)}</w:t>') for t in texts) + "</w:txbxContent></v:textbox>"
+        return _paragraph(f'<w:pict><v:rect style="{_placed(b)}" filled="f" stroked="{"t" if b["type"] in ("shape", "line") else "f"}">{inner}</v:rect></w:pict>')
+
+    for i, p in enumerate(pages):
+        width, height = (max([d, *(b[at] + b[side] for b in p if b[at] is not None and b[side] is not None)]) for at, side, d in (("x", "width", 794.0), ("y", "height", 1123.0)))
+        size = f'<w:sectPr><w:pgSz w:w="{round(width * 15)}" w:h="{round(height * 15)}" w:orient="{"landscape" if width > height else "portrait"}"/><w:pgMar w:top="0" w:right="0" w:bottom="0" w:left="0"/></w:sectPr>'
+        body.append("".join(map(frame, p)) + (size if i == len(pages) - 1 else f"<w:p><w:pPr>{size}</w:pPr></w:p>"))
+    links = "".join(f'<Relationship Id="rIdImage{n}" Type="{_OFFICE}/image" Target="{path.removeprefix("word/")}"/>' for n, path in enumerate(images, 1))
+    xml = f'{_HEAD}<w:document xmlns:w="{_WORD}" xmlns:v="urn:schemas-microsoft-com:vml" xmlns:r="{_OFFICE}"><w:body>{"".join(body)}</w:body></w:document>'
+    parts = _package("word/document.xml", f"{_MIME}.wordprocessingml.document.main+xml") | {"word/document.xml": xml, "word/_rels/document.xml.rels": f'{_HEAD}<Relationships xmlns="{_RELS}">{links}</Relationships>'}
+    return _zip(parts | images)
+
+
 def _inline(ref: str, text: str) -> str:
     inner = f'<t xml:space="preserve">{_x(text)}</t>'
     return f'<c t="inlineStr" r="{ref}"><is>' + inner + "</is></c>"
@@ -181,15 +230,17 @@ def to_json(pages: list[list[dict]], title: str = "") -> str:
 
 
 WRITERS = {
-    "txt": lambda p, t: plain(p).encode(), "md": lambda p, t: markdown(p, t).encode(), "html": lambda p, t: html(p, t).encode(), "json": lambda p, t: to_json(p, t).encode(), "docx": lambda p, t: docx(p), "xlsx": lambda p, t: xlsx(p),
+    "txt": lambda p, t: plain(p).encode(), "md": lambda p, t: markdown(p, t).encode(), "html": lambda p, t: html(p, t).encode(), "json": lambda p, t: to_json(p, t).encode(), "docx": lambda p, t: docx(p), "docx-original": lambda p, t: docx_placed(p), "xlsx": lambda p, t: xlsx(p),
     "csv": lambda p, t: delimited([row for page in p for b in page if b["type"] == "table" for row in matrix(b)]).encode(),
 }
 
 
-def export(blocks: DataFrame, kind: str) -> DataFrame:
-    """(path, content) of each document of a DataFrame of blocks, in one of the formats of ``WRITERS``."""
+def export(blocks: DataFrame, kind: str, pages: list[int] | None = None) -> DataFrame:
+    """(path, content) of each document of a DataFrame of blocks, in one of the formats of ``WRITERS``; of some pages, if they are named."""
     if kind not in WRITERS:
         raise ValueError(f"no writer for {kind!r}")
+    if pages is not None:
+        blocks = blocks.where(F.col("page_no").isin(pages))
 
     def run(frames):
         import pandas as pd

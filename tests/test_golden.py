@@ -8,7 +8,7 @@ from folioflow.functions import patterns as P
 from folioflow.functions import sequences
 from folioflow.functions import text as T
 from folioflow.operators import folds
-from folioflow.plans import regions, studio, tables
+from folioflow.plans import regions, tables
 from folioflow.plans.dialect import Duck, Spark, values
 from folioflow.sources import sinks
 
@@ -23,7 +23,7 @@ def run(request, spark):
 
 def test_languages(run):
     cases = [("paragraph", "วรรณคดีโบราณ", "tha"), ("isbn", "ISBN 978-616-407-087-5", "number"), ("barcode", "", "barcode"), ("publisher_info", "จุฬาลงกรณ์ University", "tha+eng"), ("person_name", "John", "tha"), ("unknown", "John", "eng"), ("unknown", "12", "tha")]
-    got = run(lambda d: f"SELECT kind, text, {studio.language(d, 'kind', 'text')} FROM {values(d, [c[:2] for c in cases], 'kind, text')} AS v")
+    got = run(lambda d: f"SELECT kind, text, {regions.language(d, 'kind', 'text')} FROM {values(d, [c[:2] for c in cases], 'kind, text')} AS v")
     assert set(got) == set(cases)
 
 
