@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.plans.registry import query
-from folioflow.providers import images
+from folioflow.providers import images, recognise
 from folioflow.session import table
 
 SIDE = 10
@@ -112,3 +112,27 @@ def region_hashes(spark, sf_dir):
 
     t = table(spark, sf_dir, "part").select("p_name", F.col("p_size").cast("string").alias("p_size"))
     return t.mapInPandas(run, "h string").agg(F.count("*").alias("n"), F.countDistinct("h").alias("n_distinct"))
+
+
+def dark_pixels(image, language: str) -> tuple[str, float]:
+    """A provider that reads how many pixels are dark, and is the surer the more there are."""
+    n = int((image < 100).sum())
+    return f"{n} dark", min(0.99, n / 200)
+
+
+_TRIES = "[1, 4, 16, 36]"
+
+
+@query(
+    "recognised_regions",
+    f"""WITH n AS (SELECT image, count(*) FILTER (WHERE g < 100) AS n FROM {_GREY} AS a GROUP BY image),
+    t AS (SELECT image, unnest(range(4)) + 1 AS no, unnest({_TRIES}) * n AS dark FROM n), c AS (SELECT *, least(0.99e0, dark / 200e0) AS confidence FROM t),
+    f AS (SELECT image, max(confidence) < 0.88 AS again FROM c WHERE no <= 2 GROUP BY image), b AS (SELECT c.*, again, row_number() OVER (PARTITION BY c.image ORDER BY confidence DESC, no) AS best FROM c JOIN f ON f.image = c.image WHERE again OR no <= 2)
+    SELECT image AS region_id, CASE WHEN image % 3 = 2 THEN 'confirmed_non_text' WHEN confidence >= 0.88 THEN 'verified' ELSE 'review_required' END AS status, CASE WHEN image % 3 = 2 THEN '' ELSE dark || ' dark' END AS text, CASE WHEN image % 3 = 2 THEN 0e0 ELSE round(confidence, 6) END AS confidence, CASE WHEN image % 3 = 2 THEN 0 WHEN again THEN 4 ELSE 2 END::BIGINT AS n_attempts FROM b WHERE best = 1""",
+)
+def recognised_regions(spark, sf_dir):
+    """Regions through a provider: what is no text is skipped, two quick tries, two more where they aren't sure, review below that."""
+    grey = _each(_images(spark, sf_dir), lambda i, rgb: [(i, images.grey(rgb).tobytes())], "region_id long, image binary")
+    regions = grey.select("region_id", F.when(F.col("region_id") % 3 == 2, "logo").otherwise("text").alias("region_type"), F.lit("tha").alias("language"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), "image")
+    found = recognise.recognise(regions, dark_pixels, ("original", "upscale2"), ("upscale4", "upscale6"))
+    return found.withColumn("confidence", F.round("confidence", 6))
