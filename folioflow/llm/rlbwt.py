@@ -22,7 +22,7 @@ from folioflow.session import cut, drop, parts
 __all__ = ["RunLengthIndex", "remove_repeats", "repeat_spans", "SUPER", "kernel"]
 
 #: Length of a match, bytes of an anchor, bytes that one index holds, distinct super-windows of one anchor in an index.
-MATCH, GRAM, SHARD, HOT = 400, 200, 2 << 20, 1500
+MATCH, GRAM, SHARD, HOT = 400, 200, 1 << 19, 1500
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
