@@ -145,6 +145,8 @@ def test_chat(spark):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(said), sha(said))
     assert chat.format_conversations(table.limit(0)).count() == 0
+    named = chat.digests(chat.format_conversations(table.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id"))))).collect()
+    assert {(r.conv_id, r.turns_sha256) for r in named} == {(None if c is None else f"c{c}", r.turns_sha256) for c, r in got.items()}
 
 
 def test_escapes_are_undone():
@@ -198,8 +200,21 @@ def test_pipeline(spark, docs, tmp_path):
     check_packing(now.collect(), texts)
     assert corpus_pipeline.run(spark, sf).count() == now.count()
     empty = docs.select(*columns).limit(0)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    clashing = docs.select(*columns, *[F.lit(1).alias(c) for c in ("_id", "_k", "_h", "_n", "key", "fp", "root", "kept", "spans", "row", "_0", "component_id", "lang_pred")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, sf).count() == 0
+        assert sorted(map(repr, stage(spark, clashing, sf).collect())) == sorted(map(repr, stage(spark, docs.select(*columns), sf).collect())), name
+
+
+def test_span_dedup_finds_short_passages(spark, tmp_path):
+    """A passage of 55 words that two documents share goes from both; their own words and white space stay."""
+    rng = random.Random(23)
+    own = [" ".join(words(rng, 80)) for _ in range(6)]
+    passage = " ".join(rng.choice(["of", "the", "long", "river", "bends", "quiet", "stone"]) for _ in range(55))
+    rows = [(0, f"{own[0]}\n\t{passage}  {own[1]}"), (1, f"{own[2]} {passage} {own[3]}"), (2, f"{own[4]}\n {own[5]}")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.span_dedup(spark, _documents(spark, rows), str(tmp_path)).collect()}
+    assert all(own[i] in got[i // 2] for i in range(6)) and got[2] == rows[2][1]
+    assert all(passage[20:-20] not in got[i] and len(got[i]) < len(rows[i][1]) - len(passage) + 3 for i in range(2))
 
 
 def _documents(spark, rows):
