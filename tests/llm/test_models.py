@@ -191,7 +191,7 @@ def test_score_by_brute_force(spark, head):
     train = [(w, lang) for w, (i, _, lang) in zip(words, rows) if zlib.crc32(str(i).encode()) % 7 != 2]
     want, n_one, n_two = _brute_scores(train, words, 4.0, 12.0)
     assert n_one > 5 and n_two > 5
-    model = suffix_tree.learn(docs, ~held_out(7, 2), gain=4.0, divergence=12.0, head=head)
+    model = suffix_tree.learn(docs, ~held_out(7, 2), gain=4.0, divergence=12.0, support=2, head=head)
     got = {r.doc_id: r.score for r in suffix_tree.score(docs, model).collect()}
     assert [round(got[i], 2) for i in range(160)] == [round(x, 2) for x in want]
     assert [len(x.states.keys) for x in model.contexts] == [n_one, n_two]
