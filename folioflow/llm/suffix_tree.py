@@ -9,29 +9,33 @@ The root spells tokens, so that it has a probability for every one. It mixes the
 suffix tree over the bytes of words, with contexts back to the word's beginning. There is a root for each language of
 the training texts; the tokens already read choose it, so the scores stay probabilities of a text.
 
-Counts of tokens and contexts are gathered from all training texts by aggregations and joins. What is broadcast has
-bounds that are parameters, the most informative first; tokens beyond them meet their counts in a join.
+Counts of tokens and contexts are gathered from all training texts by aggregations and joins. Of tokens, contexts and
+transitions the commonest are broadcast, up to bounds that are parameters; all others stay in a table, and each text
+meets those that it needs in a join before it is scored. The trees that spell are broadcast whole.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.windows import C1, buffers, groups, mix, word_symbols
+from folioflow.llm.windows import C1, buffers, groups, mix, text_key, word_symbols
 from folioflow.session import cut, drop, parts
 
 #: Longest context of bytes; bits that a state must gain; discount; weight of the spelling next to the counts; how many trees.
 DEPTH, DIVERGENCE, DISCOUNT, SPELLED, TREES = 5, 20.0, 0.7, 0.4, 8
-#: Bounds on what is broadcast: tokens with their counts, n-grams of bytes, states of a spelling tree, transitions of each length of context.
-HEAD, GRAMS, STATES, TRANSITIONS = 300_000, 300_000, 10_000, 200_000
-#: Bits that a transition must gain by itself; times it must occur; bits of a hash that the bitmap of pairs knows.
+#: Bounds on what is broadcast: tokens with their counts; states and transitions of each length of context. The rest is joined.
+HEAD, TRANSITIONS = 300_000, 200_000
+#: Bits that a transition must gain by itself; times it must occur; bits of a hash that a bitmap of keys knows.
 GAIN, SUPPORT, BITS = 8.0, 3, 27
 PIECE, FLUSH, SPELL = 1 << 20, 600_000, 60_000
+#: Rows that a Python worker gets at once; texts that bring what they met in the join are several times as large.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: What stands for the end of a text among word hashes.
 END = -7046029254386353131
@@ -257,11 +261,11 @@ def _following(shared):
 
 
 def _longer(shared):
-    """(text) to (h, u, b, n): tokens b after two tokens, of which h is the key and u the last, where they are a known transition."""
+    """(text) to (h, u, b, n): tokens b after two tokens, of which h is the key and u the last, where the bitmap may know them."""
 
     def find(token, last, doc):
         key = pair(last, token)
-        at = np.flatnonzero(shared.value.has(key[:-1]) & (doc[1:] == doc[:-1])) + 1
+        at = np.flatnonzero(_known(shared.value, key[:-1]) & (doc[1:] == doc[:-1])) + 1
         return pair(key[at - 1], token[at]), key[at - 1], last[at], token[at]
 
     return _rows_of(find)
@@ -322,8 +326,8 @@ class Tree:
         return back
 
 
-def build_tree(keys: np.ndarray, counts: np.ndarray, divergence: float = DIVERGENCE, discount: float = DISCOUNT, states: int = STATES) -> Tree:
-    """Tree from n-grams as ``ngrams`` gives them; of the contexts that pass the test those that gain most, about ``states``."""
+def build_tree(keys: np.ndarray, counts: np.ndarray, divergence: float = DIVERGENCE, discount: float = DISCOUNT) -> Tree:
+    """Tree from n-grams as ``ngrams`` gives them, of all contexts that pass the test."""
     keys = keys.astype(np.uint64)
     length, last = keys >> np.uint64(56), (keys & np.uint64(255)).astype(np.int64)
     context = ((keys & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | (length << np.uint64(56))
@@ -341,7 +345,7 @@ def build_tree(keys: np.ndarray, counts: np.ndarray, divergence: float = DIVERGE
         return row
 
     root = after(follow.pop(b"", None))
-    gains = []
+    keep = {b"": None, b" ": None}
     for s in follow:
         row = after(follow[s])
         shorter = s[1:]
@@ -352,29 +356,27 @@ def build_tree(keys: np.ndarray, counts: np.ndarray, divergence: float = DIVERGE
         on = p > 0
         gain = row.sum() * float((p[on] * np.log2(p[on] / q[on])).sum())
         if gain >= divergence:
-            gains.append((-gain, s))
-    keep = {b"": None}
-    for _, s in sorted(gains):
-        if len(keep) >= states:
-            break
-        # All parts of a state are states: the longest suffix is then always one byte away from the last one.
-        for i in range(len(s)):
-            for j in range(i + 1, len(s) + 1):
-                keep.setdefault(s[i:j])
-    keep.setdefault(b" ", None)
+            # All parts of a state are states: the longest suffix is then always one byte away from the last one.
+            for i in range(len(s)):
+                for j in range(i + 1, len(s) + 1):
+                    keep.setdefault(s[i:j])
     contexts = sorted(keep, key=lambda s: (len(s), s))
     number = {s: i for i, s in enumerate(contexts)}
-    prob = np.zeros((len(contexts), 256))
+    seen = np.flatnonzero(root)
+    columns = np.append(seen, np.setdiff1d(np.arange(256), seen)[:1])
+    symbol = np.full(256, len(seen), np.uint8)
+    symbol[seen] = np.arange(len(seen))
+    prob = np.zeros((len(contexts), len(columns)))
     for i, s in enumerate(contexts):
-        row = after(follow.get(s))
+        row = after(follow.get(s))[columns]
         if not s:
-            prob[i] = (root + 1) / (root + 1).sum()
+            prob[i] = ((root + 1) / (root + 1).sum())[columns]
         elif not row.sum():
             prob[i] = prob[number[s[1:]]]
         else:
             used = np.maximum(row - discount, 0)
             prob[i] = (used + (row.sum() - used.sum()) * prob[number[s[1:]]]) / row.sum()
-    goto = np.zeros((len(contexts), 256), np.int32)
+    goto = np.zeros((len(contexts), len(columns)), np.int32)
     # The next state is the longest state that is a suffix of context + byte: shorter ones first, longer ones over them.
     ends: dict[bytes, list[int]] = {}
     for i, s in enumerate(contexts):
@@ -384,13 +386,8 @@ def build_tree(keys: np.ndarray, counts: np.ndarray, divergence: float = DIVERGE
         if s:
             rows = ends.get(s[:-1])
             if rows:
-                goto[rows, s[-1]] = number[s]
-    seen = np.flatnonzero(root)
-    column = np.setdiff1d(np.arange(256), seen)[:1]
-    symbol = np.full(256, len(seen), np.uint8)
-    symbol[seen] = np.arange(len(seen))
-    columns = np.append(seen, column)
-    return Tree(contexts, np.log10(prob[:, columns]).astype(np.float32), goto[:, columns], number[b" "], symbol)
+                goto[rows, symbol[s[-1]]] = number[s]
+    return Tree(contexts, np.log10(prob).astype(np.float32), goto.astype(np.min_scalar_type(len(contexts))), number[b" "], symbol)
 
 
 class Keys:
@@ -418,37 +415,23 @@ class Keys:
 
 
 class Contexts:
-    """States of contexts of one length: what follows each with a probability of its own, and the weight of the shorter context."""
+    """States of contexts of one length with the weight of the shorter context, and transitions with a probability of their own."""
 
-    def __init__(self, state: np.ndarray, key: np.ndarray, mass: np.ndarray, rest: np.ndarray):
-        """Transitions: the state's key, the key with the token, the token's own probability, the state's weight for all the rest."""
-        order = np.argsort(key)
-        self.keys, self.mass = Keys(key), mass[order]
-        state, at = np.unique(state, return_index=True)
-        self.states, self.rest = Keys(state), rest[at]
+    def __init__(self, state: np.ndarray, rest: np.ndarray, key: np.ndarray, mass: np.ndarray):
+        """States' keys and their weights for all the rest; keys of contexts with a token, and the token's own probability."""
+        self.states, self.rest = Keys(state), rest[np.argsort(state)]
+        self.keys, self.mass = Keys(key), mass[np.argsort(key)]
 
-    def mix(self, context: np.ndarray, key: np.ndarray, own: np.ndarray, rest: np.ndarray) -> None:
-        """From own + rest * p under the shorter context to the same under this one, where it is a state."""
-        at, k = self.states.find(context)
-        own[at] *= self.rest[k]
-        rest[at] *= self.rest[k]
-        at, k = self.keys.find(key)
-        own[at] += self.mass[k]
 
-
-def choose(state: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray, base: np.ndarray, divergence: float = DIVERGENCE, discount: float = DISCOUNT) -> np.ndarray:
-    """Which transitions belong to contexts that the divergence test keeps, and the weight that each context leaves to the shorter one.
-
-    Of a context seen ``total`` times ``n`` were followed by the token; ``base`` is its probability under the shorter context.
-    """
-    keys, of = np.unique(state, return_inverse=True)
-    mass = (n - discount) / total
-    rest = 1 - np.bincount(of, weights=mass, minlength=len(keys))
-    seen = np.bincount(of, weights=n, minlength=len(keys))
-    most = np.zeros(len(keys))
-    most[of] = total
-    gain = np.bincount(of, weights=n * np.log2((mass + rest[of] * base) / base), minlength=len(keys)) + (most - seen) * np.log2(rest)
-    return np.where(gain >= divergence, rest, np.nan)[of]
+def mix_in(parts: list[Contexts], context: np.ndarray, key: np.ndarray, own: np.ndarray, rest: np.ndarray) -> None:
+    """From own + rest * p under the shorter context to the same under this one, where it is a state; a key is in one part only."""
+    for x in parts:
+        at, k = x.states.find(context)
+        own[at] *= x.rest[k]
+        rest[at] *= x.rest[k]
+    for x in parts:
+        at, k = x.keys.find(key)
+        own[at] += x.mass[k]
 
 
 @dataclass
@@ -459,8 +442,9 @@ class Model:
     distinct: int  # V
     head: np.ndarray  # hashes of the frequent tokens, in order
     head_count: np.ndarray  # their counts, by tree
-    counts: DataFrame | None  # (h, c, by) of the other tokens: count, and counts by tree
-    contexts: list[Contexts]  # of one token and of two
+    contexts: list[Contexts]  # the frequent ones of one token and of two
+    others: DataFrame | None  # all else by key: (h, by, mass, rest); counts of a token by tree, a transition's probability, a state's weight
+    bits: np.ndarray  # bitmap of their keys
     spelled: float = SPELLED  # weight of the tree; the rest is that of the counts
 
     @property
@@ -475,31 +459,39 @@ class Model:
         return np.logaddexp(top, np.log(self.spelled) + spelled * np.log(10)) / np.log(10)
 
 
-def _transitions(rows: DataFrame, limit: int, gain: float) -> pa.Table:
-    """Of (state, ..., n, total, base) those transitions that gain the most bits, no more than ``limit``."""
-    own = F.col("n") * F.log2((F.col("n") - DISCOUNT) / F.col("total") / F.col("base"))
-    step = F.floor(F.log2("gain") * 32).cast("int")
-    found = cut(rows.withColumn("gain", own).where(F.col("gain") >= gain).withColumn("step", step), "gains")
-    total, least = 0, None
-    for r in sorted(found.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
-        if total + r["n"] > limit:
-            break
-        total, least = total + r["n"], r["step"]
-    out = found.where(F.col("step") >= least if least is not None else F.lit(False)).drop("gain", "step").toArrow()
+def _keyed(batches):
+    """(h, b, n, total, mass, rest) with the key of each transition."""
+    for batch in batches:
+        h, b = (batch.column(x).to_numpy() for x in ("h", "b"))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair(h, b).view(np.int64))], [*batch.schema.names, "key"])
+
+
+def _chosen(rows: DataFrame, gain: float, divergence: float, name: str) -> DataFrame:
+    """Of (h, b, n, total, base) the transitions that gain enough, with their key, mass and rest.
+
+    Of a context h seen ``total`` times ``n`` were followed by b; ``base`` is its probability under the shorter context.
+    rest is the weight that h leaves to the shorter context, null where the divergence test doesn't keep h.
+    """
+    found = cut(rows.withColumn("mass", (F.col("n") - DISCOUNT) / F.col("total")).where(F.col("n") * F.log2(F.col("mass") / F.col("base")) >= gain), f"{name}-gains")
+    held = found.join(found.groupBy("h").agg((1 - F.sum("mass")).alias("rest"), F.sum("n").alias("seen")), "h")
+    won = F.sum(F.col("n") * F.log2((F.col("mass") + F.col("rest") * F.col("base")) / F.col("base"))) + (F.max("total") - F.max("seen")) * F.log2(F.max("rest"))
+    kept = held.groupBy("h").agg(won.alias("won"), F.max("rest").alias("rest")).where(F.col("won") >= divergence).select("h", "rest")
+    out = found.join(kept, "h", "left").select("h", "b", "n", "total", "mass", "rest")
+    out = cut(out.mapInArrow(_keyed, "h long, b long, n long, total long, mass double, rest double, key long"), name)
     drop(found)
     return out
 
 
 def learn(
     docs: DataFrame, usable: Column, depth: int = DEPTH, divergence: float = DIVERGENCE, gain: float = GAIN, support: int = SUPPORT,
-    head: int = HEAD, grams: int = GRAMS, states: int = STATES, transitions: int = TRANSITIONS, trees: int = TREES,
+    head: int = HEAD, transitions: int = TRANSITIONS, trees: int = TREES,
 ) -> Model:
     """Model from all texts that are ``usable``; null texts are empty.
 
     The ``trees`` - 1 commonest languages have a root each, the others and null one together. Contexts of two tokens
-    are looked for where both are a transition kept before. Collected are no more than ``head`` tokens, ``grams``
-    n-grams of bytes and ``transitions`` of either length, the commonest or those of most gain; the counts of all other
-    tokens stay in a table. All counts are over all usable texts.
+    are looked for where both are a transition that gains enough. Collected are the n-grams of bytes, no more than
+    ``head`` tokens and ``transitions`` states and transitions of either length, the commonest; all others stay in a
+    table, so the scores don't depend on these bounds. All counts are over all usable texts.
     """
     spark = docs.sparkSession
     usable_docs = docs.select("text", "lang", usable.alias("_usable")).where("_usable")
@@ -521,17 +513,32 @@ def learn(
     c = top.column("by").combine_chunks().flatten().to_numpy().reshape(len(h), k)
     order = np.argsort(h)
     spelled = cut(words.select("word", "by").mapInArrow(_spellings(depth), "tree byte, h long, n long").groupBy("tree", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= support), "spellings")
-    often = spelled.where(F.col("n") >= _threshold(spelled, "n", grams)).select("tree", "h", "n").toArrow().sort_by("h")
-    of, key, n = (often.column(x).to_numpy() for x in ("tree", "h", "n"))
-    made = [build_tree(key[of == i].view(np.uint64), n[of == i], divergence, states=states) for i in range(k)]
+    made = []
+    for i in range(k):
+        grams = spelled.where(F.col("tree") == i).select("h", "n").toArrow().sort_by("h")
+        made.append(build_tree(grams.column("h").to_numpy().view(np.uint64), grams.column("n").to_numpy(), divergence))
+        del grams
     head_hash, head_count = h[order], c[order]
-    del top, h, c, often, of, key, n
+    del top, h, c
     pa.default_memory_pool().release_unused()
     prior = np.log10((sizes + 1) / (sizes + 1).sum())
-    contexts = _contexts(spark, texts, counts.where("tree < 0").select("h"), words, sizes, distinct, transitions, gain, support, divergence)
+    levels = _contexts(spark, texts, counts.where("tree < 0").select("h"), words, sizes, distinct, gain, support, divergence)
     drop(counts, spelled)
+    others, contexts = [words.where(F.col("c") < least).select("h", "by", F.lit(0.0).alias("mass"), F.lit(1.0).alias("rest"))], []
+    no_counts = F.lit(None).cast("array<long>").alias("by")
+    for level in levels:
+        after = level.where("rest IS NOT NULL")
+        before = after.groupBy("h").agg(F.max("rest").alias("rest"), F.max("total").alias("n"))
+        often, common = _threshold(before, "n", transitions), _threshold(after, "n", transitions)
+        a, b = before.where(F.col("n") >= often).select("h", "rest").toArrow(), after.where(F.col("n") >= common).select("key", "mass").toArrow()
+        contexts.append(Contexts(a.column("h").to_numpy().view(np.uint64), a.column("rest").to_numpy(), b.column("key").to_numpy().view(np.uint64), b.column("mass").to_numpy()))
+        del a, b
+        others.append(before.where(F.col("n") < often).select("h", no_counts, F.lit(0.0).alias("mass"), "rest"))
+        others.append(after.where(F.col("n") < common).select(F.col("key").alias("h"), no_counts, "mass", F.lit(1.0).alias("rest")))
+    others = cut(reduce(DataFrame.unionAll, others).groupBy("h").agg(F.max("by").alias("by"), F.max("mass").alias("mass"), F.min("rest").alias("rest")), "others")
+    drop(words, *levels)
     pa.default_memory_pool().release_unused()
-    return Model(made, prior, sizes, int(distinct), head_hash, head_count, words.where(F.col("c") < least).select("h", "c", "by"), contexts)
+    return Model(made, prior, sizes, int(distinct), head_hash, head_count, contexts, others, _bits(others.select("h")))
 
 
 def _threshold(rows: DataFrame, n: str, most: int) -> int:
@@ -546,51 +553,79 @@ def _threshold(rows: DataFrame, n: str, most: int) -> int:
     return 1
 
 
-def _contexts(spark, texts: DataFrame, pairs: DataFrame, words: DataFrame, sizes: np.ndarray, distinct: int, limit: int, gain: float, support: int, divergence: float) -> list[Contexts]:
-    """States of one token and of two; ``pairs`` has the keys (h) of pairs that occur often enough."""
+def _contexts(spark, texts: DataFrame, pairs: DataFrame, words: DataFrame, sizes: np.ndarray, distinct: int, gain: float, support: int, divergence: float) -> list[DataFrame]:
+    """Transitions after one token and after two, as ``_chosen`` gives them; ``pairs`` has the keys (h) of pairs that occur often enough."""
     shared = spark.sparkContext.broadcast(_bits(pairs))
     pairs = cut(_summed(texts.select("text").mapInArrow(_following(shared), "h long, u long, b long, n long"), support, "h", "b"), "pairs")
     shared.destroy()
     after, before = words.select(F.col("h").alias("b"), F.col("by").alias("b_by")), words.select("h", F.col("c").alias("total"), "by")
     base = sum((F.col("by")[i] / F.col("c_u") * (F.col("b_by")[i] + 1) / float(n + distinct) for i, n in enumerate(sizes.tolist())), F.lit(0.0))
     rows = pairs.join(before, "h").join(after, "b").withColumn("c_u", F.col("total"))
-    one = _transitions(rows.select("h", "b", "n", "total", base.alias("base")), limit, gain)
-    h, b, n, total, q = (one.column(x).to_numpy() for x in ("h", "b", "n", "total", "base"))
-    h, key = h.view(np.uint64), pair(h, b)
-    rest = choose(h, key, n, total, q, divergence)
-    kept = ~np.isnan(rest)
-    first = Contexts(h[kept], key[kept], ((n - DISCOUNT) / total)[kept], rest[kept])
-    if not len(key):
-        return [first, first]
-    table = pa.table({"key": key.view(np.int64), "u": h.view(np.int64), "b": b, "seen": n, "own": np.where(kept, (n - DISCOUNT) / total, 0.0)})
-    known = cut(spark.createDataFrame(table), "transitions")
-    state, at = np.unique(h[kept], return_index=True)
-    weights = cut(spark.createDataFrame(pa.table({"u": state.view(np.int64), "rest": rest[kept][at]}), "u long, rest double"), "states")
-    shared = spark.sparkContext.broadcast(Keys(key))
+    one = _chosen(rows.select("h", "b", "n", "total", base.alias("base")), gain, divergence, "transitions")
+    shared = spark.sparkContext.broadcast(_bits(one.select(F.col("key").alias("h"))))
     two = cut(_summed(texts.select("text").mapInArrow(_longer(shared), "h long, u long, b long, n long"), support, "h", "u", "b"), "longer")
-    rows = two.join(known.select(F.col("key").alias("h"), F.col("seen").alias("total")), "h").join(known.select("u", "b", "own"), ["u", "b"], "left").join(weights, "u", "left")
+    shared.destroy()
+    own = one.select(F.col("h").alias("u"), "b", F.when(F.col("rest").isNotNull(), F.col("mass")).alias("own"))
+    weights = one.where("rest IS NOT NULL").groupBy(F.col("h").alias("u")).agg(F.max("rest").alias("rest"))
+    rows = two.join(one.select(F.col("key").alias("h"), F.col("n").alias("total")), "h").join(own, ["u", "b"], "left").join(weights, "u", "left")
     rows = rows.join(words.select(F.col("h").alias("u"), F.col("c").alias("c_u"), "by"), "u").join(after, "b")
     rows = rows.select("h", "b", "n", "total", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * base).alias("base"))
-    longer = _transitions(rows, limit, gain)
-    shared.destroy()
-    drop(pairs, two, known, weights)
-    h, b, n, total, q = (longer.column(x).to_numpy() for x in ("h", "b", "n", "total", "base"))
-    h, key = h.view(np.uint64), pair(h, b)
-    rest = choose(h, key, n, total, q, divergence)
-    kept = ~np.isnan(rest)
-    return [first, Contexts(h[kept], key[kept], ((n - DISCOUNT) / total)[kept], rest[kept])]
+    longer = _chosen(rows, gain, divergence, "longer-transitions")
+    drop(pairs, two)
+    return [one, longer]
+
+
+def _needed(shared):
+    """(key, text) to (key, h): what each text needs of the table of others, as far as the bitmap can tell."""
+
+    def run(batches):
+        m = shared.value
+        one, two = m.contexts
+        words = Keys(m.head)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            keys = batch.column("key").to_numpy()
+            for i, j in groups(offsets, PIECE):
+                _, _, before, h = word_symbols(_lower[data[offsets[i] : offsets[j]]], offsets[i : j + 1])
+                token, last, doc, ends = token_stream(h, before)
+                key = pair(last, token)
+                known = _known(m.bits, key)
+                longer = np.flatnonzero((doc[1:] == doc[:-1]) & (known | two.states.has(key))[:-1]) + 1
+                three = pair(key[longer - 1], token[longer])
+                # A token or pair may be in the table in one of its two parts only.
+                token, of = (x[_known(m.bits, token)] for x in (token, doc))
+                at = np.flatnonzero(~(words.has(token) & one.states.has(token)))
+                pairs = np.flatnonzero(known)
+                pairs = pairs[~(one.keys.has(key[pairs]) & two.states.has(key[pairs]))]
+                most = np.flatnonzero(_known(m.bits, three) & ~two.keys.has(three))
+                h, of = np.concatenate((token[at], key[pairs], three[most])), np.concatenate((of[at], doc[pairs], doc[longer[most]]))
+                first = _merge(mix(h + mix(of.astype(np.uint64))), np.ones(len(h), np.int64))[2]
+                yield from _emit({"key": keys[i + of[first]], "h": h[first].view(np.int64)})
+
+    return run
 
 
 def _score(shared, carry: list[str]):
-    names = [*carry, "n_tokens", "n_known", "logs", "score", "tail", "tree", "spelled", "own", "rest"]
+    names = [*carry, "n_tokens", "n_known", "logs", "score"]
+
+    def looked_up(batch, trees: int) -> tuple[Keys, np.ndarray, Contexts]:
+        """What the texts of a batch got from the table: tokens with their counts, states and transitions."""
+        words, more = batch.column("words").flatten(), batch.column("more").flatten()
+        h, at = np.unique(words.field("h").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+        by = words.field("by").flatten().to_numpy().reshape(-1, trees)[at]
+        key, at = np.unique(more.field("h").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+        mass, rest = (more.field(x).to_numpy(zero_copy_only=False)[at] for x in ("mass", "rest"))
+        return Keys(h), by, Contexts(key, rest, key, mass)
 
     def run(batches):
         m = shared.value
         trees = len(m.trees)
         end = np.uint64(END & (2**64 - 1))
+        frequent = Keys(m.head)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            out: list[list] = [[] for _ in range(10)]
+            other, other_count, more = looked_up(batch, trees)
+            out: list[list] = [[] for _ in range(4)]
             for i, j in groups(offsets, PIECE):
                 x = _lower[data[offsets[i] : offsets[j]]]
                 begin, stop, before, h = word_symbols(x, offsets[i : j + 1])
@@ -605,11 +640,12 @@ def _score(shared, carry: list[str]):
                 inner = np.ones(ends[-1], bool)
                 inner[ends - 1] = False
                 token[inner] = inverse
-                k = np.minimum(np.searchsorted(m.head, u), max(len(m.head) - 1, 0))
-                hit = m.head[k] == u if len(m.head) else np.zeros(len(u), bool)
-                count = np.where(hit[:, None], m.head_count[k], 0) if len(m.head) else np.zeros((len(u), trees), np.int64)
+                count = np.zeros((len(u), trees), np.int64)
+                for keys, counts in ((other, other_count), (frequent, m.head_count)):
+                    at, k = keys.find(u)
+                    count[at] = counts[k]
                 spelled = np.stack([t.spell(x, b, size) for t in m.trees], axis=1)
-                log_p = np.stack([np.where(hit, m.log_known(t, count[:, t], spelled[:, t]), np.log10(m.spelled) + spelled[:, t]) for t in range(trees)], axis=1)
+                log_p = np.stack([m.log_known(t, count[:, t], spelled[:, t]) for t in range(trees)], axis=1)
                 # The root for a token is the one that best spells the tokens before it.
                 seen = np.cumsum(spelled[token], axis=0)
                 past = np.zeros_like(seen)
@@ -619,34 +655,21 @@ def _score(shared, carry: list[str]):
                 # Probability of a token: own + rest * that under the root.
                 own, rest = np.zeros(len(token)), np.ones(len(token))
                 one = pair(last, hashes)
-                m.contexts[0].mix(last, one, own, rest)
+                mix_in([m.contexts[0], more], last, one, own, rest)
                 longer = np.flatnonzero(doc[1:] == doc[:-1]) + 1
                 a, c = own[longer], rest[longer]
-                m.contexts[1].mix(one[longer - 1], pair(one[longer - 1], hashes[longer]), a, c)
+                mix_in([m.contexts[1], more], one[longer - 1], pair(one[longer - 1], hashes[longer]), a, c)
                 own[longer], rest[longer] = a, c
-                known = hit[token]
-                log_c = np.log10(count.sum(axis=1) + 1)
+                total = count.sum(axis=1)
                 root = log_p[token, tree]
-                plain = own == 0
                 with np.errstate(divide="ignore"):
-                    p = np.where(plain, np.log10(rest) + root, np.logaddexp(np.log(own), np.log(rest) + root * np.log(10)) / np.log(10))
+                    p = np.where(own == 0, np.log10(rest) + root, np.logaddexp(np.log(own), np.log(rest) + root * np.log(10)) / np.log(10))
                 out[0].append(length)
-                out[1].append(np.bincount(doc, weights=known, minlength=n).astype(np.int64))
-                out[2].append(np.bincount(doc, weights=log_c[token], minlength=n))
-                out[3].append(np.bincount(doc, weights=np.where(known, p, 0.0), minlength=n))
-                off = np.flatnonzero(~known)
-                out[4].append(hashes[off].view(np.int64))
-                out[5].append(tree[off])
-                out[6].append(spelled[token[off], tree[off]])
-                out[7].append(own[off])
-                out[8].append(rest[off])
-                out[9].append(np.bincount(doc[off], minlength=n))
-            if not out[0]:
-                continue
-            flat = [np.concatenate(v) for v in out]
-            at = pa.array(np.concatenate(([0], np.cumsum(flat[9]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(v.astype(t))) for v, t in zip(flat[4:9], (np.int64, np.int8, np.float64, np.float64, np.float64), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *map(pa.array, flat[:4]), *lists], names)
+                out[1].append(np.bincount(doc, weights=total[token] > 0, minlength=n).astype(np.int64))
+                out[2].append(np.bincount(doc, weights=np.log10(total + 1)[token], minlength=n))
+                out[3].append(np.bincount(doc, weights=p, minlength=n))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(np.concatenate(v)) for v in out)], names)
 
     return run
 
@@ -660,26 +683,32 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     """
     carry = list(carry)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
-    read = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
-    rows = read.mapInArrow(_score(shared, carry), f"{kinds}, n_tokens long, n_known long, logs double, score double, tail array<long>, tree array<byte>, spelled array<double>, own array<double>, rest array<double>")
-    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, others=None))
+    # Texts under one key share what either needs, so a clash of hashes does no harm.
+    read = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"), text_key().alias("_key"))
+    needed = read.select(F.col("_key").alias("key"), "text").mapInArrow(_needed(shared), "key long, h long").repartition(parts(docs.sparkSession), "h").dropDuplicates()
+    found = needed.join(model.others, "h").groupBy(F.col("key").alias("_key")).agg(
+        F.collect_list(F.when(F.col("by").isNotNull(), F.struct("h", "by"))).alias("words"),
+        F.collect_list(F.when((F.col("mass") > 0) | (F.col("rest") < 1), F.struct("h", "mass", "rest"))).alias("more"),
+    )
+    found = cut(found, "needed")
+    none = [F.coalesce(x, F.array().cast(found.schema[x].dataType)).alias(x) for x in ("words", "more")]
+    rows = read.join(found, "_key", "left").select(*carry, "text", *none)
+    rows = rows.mapInArrow(_score(shared, carry), f"{kinds}, n_tokens long, n_known long, logs double, score double")
+    size = docs.sparkSession.conf.get(_BATCH)
+    docs.sparkSession.conf.set(_BATCH, min(int(size), 1500) if int(size) > 0 else 1500)
+    try:
+        rows = cut(rows, "scores")
+    finally:
+        docs.sparkSession.conf.set(_BATCH, size)
     shared.destroy()
-    tail = rows.select("_row", F.explode(F.arrays_zip("tail", "tree", "spelled", "own", "rest")).alias("t")).select("_row", F.col("t.tail").alias("h"), F.col("t.tree").alias("k"), F.col("t.spelled").alias("lp"), F.col("t.own").alias("own"), F.col("t.rest").alias("rest"))
+    drop(found)
     n, v = float(model.tokens), float(model.distinct)
-    size = F.array(*[F.lit(float(max(int(x), 1))) for x in model.sizes])[F.col("k").cast("int")]
-    mine = F.coalesce(F.col("by")[F.col("k").cast("int")], F.lit(0))
-    unseen = F.log10("rest") + F.lit(float(np.log10(model.spelled))) + F.col("lp")
-    seen = F.log10(F.col("own") + F.col("rest") * ((1 - model.spelled) * mine / size + model.spelled * F.pow(F.lit(10.0), "lp")))
-    p = F.when((mine > 0) | (F.col("own") > 0), seen).otherwise(unseen)
-    joined = tail.join(model.counts, "h", "left").select("_row", F.coalesce("c", F.lit(0)).alias("c"), p.alias("p"))
-    sums = joined.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"), F.sum("p").alias("more_score"))
-    rows = rows.drop("tail", "tree", "spelled", "own", "rest").join(sums, "_row", "left")
     return rows.select(
         *[F.col(x) for x in carry],
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
+        "score",
     )

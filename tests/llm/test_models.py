@@ -197,6 +197,32 @@ def test_score_by_brute_force(spark, head):
     assert [len(x.states.keys) for x in model.contexts] == [n_one, n_two]
 
 
+@pytest.mark.parametrize("transitions", [200_000, 3, 0])
+def test_no_transition_is_dropped(spark, transitions):
+    """What isn't broadcast is joined: scores are those of the whole model, in copies, null texts and an unknown language too."""
+    rng = random.Random(5)
+    phrases = ["the old mill by the river", "a cup of hot tea", "by the river we sat", "the cup by the tea", "der alte weg am fluss"]
+    rows = [(i, " ".join(rng.choice(phrases) + rng.choice(["", " Xy", f" z{i % 11}"]) for _ in range(rng.randrange(6))), "de" if i % 5 == 0 else "en") for i in range(120)]
+    docs = spark.createDataFrame([*rows, *[(200 + i, rows[7][1], "en") for i in range(30)], (300, None, "en")], "doc_id long, text string, lang string").repartition(3)
+    everything = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    words = [t.lower().encode().split() for _, t, _ in everything]
+    train = [(w, lang) for w, (i, _, lang) in zip(words, everything) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want, n_one, n_two = _brute_scores(train, words, 4.0, 12.0)
+    assert n_one > 5 and n_two > 5
+    model = suffix_tree.learn(docs, ~held_out(7, 2), gain=4.0, divergence=12.0, support=2, head=4, transitions=transitions)
+    assert all(len(x.keys.keys) <= transitions and len(x.states.keys) <= transitions for x in model.contexts)
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, model).collect()}
+    assert {i: round(got[i], 2) for i in got} == {i: round(x, 2) for (i, _, _), x in zip(everything, want)}
+
+
+def test_no_state_of_a_spelling_tree_is_dropped():
+    letters = b"abcdefghijklmnopqrstuvwxyz"
+    words = [bytes((a, b, c, letters[zlib.crc32(bytes((a, b, c))) % 26])) for a in letters for b in letters for c in letters]
+    key, n = suffix_tree.ngrams(np.full(len(words), 4), np.full(len(words), 100), np.frombuffer(b"".join(words), np.uint8))
+    tree = suffix_tree.build_tree(key, n)
+    assert {w[:3] for w in words} <= set(tree.contexts)
+
+
 def test_words_before_matter(spark):
     """What follows a phrase of the training texts is likelier than the same words in another order."""
     docs = spark.createDataFrame([(i, "one two three four five six seven eight", "en") for i in range(60)] + [(1000 + i, f"w{i} x{i % 7} y{i % 5}", "en") for i in range(200)], "doc_id long, text string, lang string")
