@@ -11,18 +11,22 @@ the training texts; the tokens already read choose it, so the scores stay probab
 
 Counts of tokens and contexts are gathered from all training texts by aggregations and joins. Of tokens, contexts and
 transitions the commonest are broadcast, up to bounds that are parameters; all others stay in a table, and each text
-meets those that it needs in a join before it is scored. The trees that spell are broadcast whole.
+meets those that it needs in a join before it is scored, a slice of the texts at a time. The trees that spell are
+broadcast whole.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from folioflow.llm.windows import C1, buffers, groups, mix, text_key, word_symbols
 from folioflow.session import cut, drop, parts
@@ -33,9 +37,13 @@ DEPTH, DIVERGENCE, DISCOUNT, SPELLED, TREES = 5, 20.0, 0.7, 0.4, 8
 HEAD, TRANSITIONS = 300_000, 200_000
 #: Bits that a transition must gain by itself; times it must occur; bits of a hash that a bitmap of keys knows.
 GAIN, SUPPORT, BITS = 8.0, 3, 27
-PIECE, FLUSH, SPELL = 1 << 20, 600_000, 60_000
-#: Rows that a Python worker gets at once; texts that bring what they met in the join are several times as large.
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+PIECE, FLUSH, SPELL = 1 << 19, 600_000, 60_000
+#: Bits of a pair's key that name its bucket where pairs are counted; 32 more are kept. Pairs held before they are sorted.
+BUCKET, PAIRS = 12, 2_000_000
+#: Parts that the texts are scored in, one after the other; tasks that copies of a text are dealt to; bytes of rows scored at once.
+SLICES, COPIES, ROWS = 2, 16, 3 << 20
+#: Texts and rows, and packed pairs, that a Python worker gets at once: a few MB.
+BATCH, PACKED = 2000, 500
 
 #: What stands for the end of a text among word hashes.
 END = -7046029254386353131
@@ -65,8 +73,8 @@ def token_stream(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _merge(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their sums and where each first stands."""
-    order = np.argsort(h, kind="stable")
+    """Distinct keys, their sums and where one of each stands."""
+    order = np.argsort(h)
     s = h[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     return s[first], np.add.reduceat(n[order], first) if len(s) else n, order[first] if len(s) else order
@@ -78,6 +86,18 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - size), size)]
 
 
+@contextmanager
+def _batches(spark, rows: int):
+    """Python workers get no more than ``rows`` rows at once: what waits for them lies outside the heap and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Words:
     """Distinct words with their counts and bytes."""
 
@@ -141,20 +161,76 @@ class Sums:
         self.pending += len(key)
 
     def take(self) -> list[np.ndarray]:
-        key, n, *columns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        kept, self.parts, self.pending = list(zip(*self.parts, strict=True)), [], 0
+        # Each column's parts go as soon as they are joined.
+        key, n, *columns = [np.concatenate(kept.pop(0)) for _ in range(len(kept))]
         key, n, at = _merge(key, n)
-        self.parts, self.pending = [], 0
         return [key, n, *(c[at] for c in columns)]
 
 
-def _emit(columns: dict[str, np.ndarray]):
+def _emit(columns: dict[str, np.ndarray], size: int = 1 << 16):
     n = len(next(iter(columns.values())))
-    for i in range(0, n, 1 << 16):
-        yield pa.RecordBatch.from_arrays([x[i : i + (1 << 16)] if isinstance(x, pa.Array) else pa.array(x[i : i + (1 << 16)]) for x in columns.values()], list(columns))
+    for i in range(0, n, size):
+        yield pa.RecordBatch.from_arrays([x[i : i + size] if isinstance(x, pa.Array) else pa.array(x[i : i + size]) for x in columns.values()], list(columns))
+
+
+class Pairs:
+    """Pairs of tokens by the highest bits of their keys, packed by bucket: four bytes for each, ``support`` times at most.
+
+    Bits that are left out can only let a pair pass for a frequent one; those that pass are counted by whole keys later.
+    """
+
+    def __init__(self, support: int):
+        self.support = support
+        self.parts: list = []
+        self.pending = 0
+
+    def add(self, key: np.ndarray) -> None:
+        self.parts.append(key >> np.uint64(32 - BUCKET))
+        self.pending += len(key)
+
+    def take(self):
+        key = np.concatenate(self.parts)
+        self.parts, self.pending = [], 0
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key = np.repeat(key[first], np.minimum(np.diff(np.append(first, len(key))), self.support))
+        at = np.searchsorted(key, np.arange((1 << BUCKET) + 1, dtype=np.uint64) << np.uint64(32))
+        bucket = np.flatnonzero(np.diff(at))
+        offsets = (np.append(at[bucket], len(key)) * 4).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(bucket), [None, pa.py_buffer(offsets), pa.py_buffer(key.astype(np.uint32))])
+        return _emit({"tree": np.full(len(bucket), -1, np.int8), "h": bucket, "word": packed, "n": np.diff(at)[bucket]}, PACKED)
+
+
+def _frequent(support: int):
+    """(h, word), packed pairs in the order of buckets, to (at, bits): words of the bitmap of those that occur ``support`` times."""
+
+    def bits(bucket: int, packed: list[np.ndarray]):
+        x = np.sort(np.concatenate(packed))
+        x = x[support - 1 :][x[support - 1 :] == x[: len(x) - support + 1]] if len(x) >= support else x[:0]
+        k = (np.uint64(bucket) << np.uint64(BITS - BUCKET)) | (x >> np.uint32(32 + BUCKET - BITS)).astype(np.uint64)
+        at = k >> np.uint64(6)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        return at[first].astype(np.int32), np.bitwise_or.reduceat(np.uint64(1) << (k & np.uint64(63)), first).view(np.int64) if len(at) else np.zeros(0, np.int64)
+
+    def run(batches):
+        bucket, packed = None, []
+        for batch in batches:
+            data, offsets = buffers(batch.column("word"))
+            for i, h in enumerate(batch.column("h").to_pylist()):
+                if h != bucket and packed:
+                    yield from _emit(dict(zip(("at", "bits"), bits(bucket, packed), strict=True)))
+                    packed = []
+                bucket = h
+                packed.append(np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), np.uint32))
+        if packed:
+            yield from _emit(dict(zip(("at", "bits"), bits(bucket, packed), strict=True)))
+
+    return run
 
 
-def _counts(trees: int):
-    """(text, tree) to (tree, h, word, n): tokens with their bytes, and under tree -1 pairs of tokens; counts are summed within a task."""
+def _counts(trees: int, support: int = SUPPORT):
+    """(text, tree) to (tree, h, word, n): tokens with their bytes, summed within a task, and under tree -1 packed pairs of tokens."""
 
     def tokens(tree: int, words: Words, texts: int):
         if words.parts:
@@ -167,12 +243,8 @@ def _counts(trees: int):
         h = np.append(h.view(np.int64), np.int64(END))
         yield from _emit({"tree": np.full(len(h), tree, np.int8), "h": h, "word": word, "n": np.append(n, texts)})
 
-    def after(pairs: Sums):
-        key, n = pairs.take()
-        return _emit({"tree": np.full(len(n), -1, np.int8), "h": key.view(np.int64), "word": pa.nulls(len(n), pa.binary()), "n": n})
-
     def run(batches):
-        words, texts, pairs = [Words() for _ in range(trees)], [0] * trees, Sums()
+        words, texts, pairs = [Words() for _ in range(trees)], [0] * trees, Pairs(support)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             of = batch.column("tree").to_numpy()
@@ -183,8 +255,8 @@ def _counts(trees: int):
                 begin, end, before, h = word_symbols(x, offsets[i : j + 1])
                 token, last, _, _ = token_stream(h, before)
                 pairs.add(pair(last, token))
-                if pairs.pending > 3 * FLUSH:
-                    yield from after(pairs)
+                if pairs.pending > PAIRS:
+                    yield from pairs.take()
                 which = np.repeat(of[i:j], np.diff(before))
                 for k in np.unique(which).tolist():
                     at = np.flatnonzero(which == k)
@@ -198,7 +270,7 @@ def _counts(trees: int):
                         yield from tokens(k, words[k], texts[k])
                         words[k], texts[k] = Words(), 0
         if pairs.parts:
-            yield from after(pairs)
+            yield from pairs.take()
         for k in range(trees):
             if texts[k] or words[k].parts:
                 yield from tokens(k, words[k], texts[k])
@@ -235,26 +307,41 @@ def _spellings(depth: int):
     return run
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap over the highest bits of the keys (column h), put together by Spark: no more than 16 MB, whatever there is."""
-    k = F.shiftrightunsigned("h", 64 - BITS)
-    rows = keys.select(F.shiftrightunsigned(k, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - BITS}) & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """The bitmap of words (at, bits): 16 MB, whatever there is."""
+    rows = rows.toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def _known(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap over the keys (column h), put together by Spark: each sets two bits, by its highest bits and by those below."""
+    k = F.explode(F.array(F.shiftrightunsigned("h", 64 - BITS), F.shiftrightunsigned(F.shiftleft("h", BITS), 64 - BITS))).alias("k")
+    rows = keys.select(k).select(F.shiftrightunsigned("k", 6).cast("int").alias("at"), F.expr("shiftleft(1L, CAST(k & 63 AS INT))").alias("bit"))
+    return _bitmap(rows.groupBy("at").agg(F.bit_or("bit").alias("bits")))
+
+
+def _bit(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bit of the highest bits of a key is set."""
     k = key >> np.uint64(64 - BITS)
     return (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _known(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a bitmap that ``_bits`` made may know a key."""
+    out = _bit(bits, key)
+    at = np.flatnonzero(out)
+    out[at] = _bit(bits, key[at] << np.uint64(BITS))
+    return out
+
+
 def _following(shared):
     """(text) to (h, u, b, n): tokens b after h (u is h again), where the bitmap may know the pair."""
 
     def find(token, last, doc):
         key = pair(last, token)
-        at = np.flatnonzero(_known(shared.value, key))
+        at = np.flatnonzero(_bit(shared.value, key))
         return key[at], last[at], last[at], token[at]
 
     return _rows_of(find)
@@ -286,7 +373,7 @@ def _rows_of(find):
                 _, _, before, h = word_symbols(_lower[data[offsets[i] : offsets[j]]], offsets[i : j + 1])
                 token, last, doc, _ = token_stream(h, before)
                 sums.add(*find(token, last, doc))
-                if sums.pending > 2 * FLUSH:
+                if sums.pending > FLUSH:
                     yield from emit(sums)
         if sums.parts:
             yield from emit(sums)
@@ -443,8 +530,8 @@ class Model:
     head: np.ndarray  # hashes of the frequent tokens, in order
     head_count: np.ndarray  # their counts, by tree
     contexts: list[Contexts]  # the frequent ones of one token and of two
-    others: DataFrame | None  # all else by key: (h, by, mass, rest); counts of a token by tree, a transition's probability, a state's weight
-    bits: np.ndarray  # bitmap of their keys
+    others: DataFrame | None  # all else by key: (h, kind, v); kind is the tree of a token's count, then a transition's probability, then a state's weight
+    bits: np.ndarray | None  # bitmap of their keys
     spelled: float = SPELLED  # weight of the tree; the rest is that of the counts
 
     @property
@@ -502,9 +589,14 @@ def learn(
         tree = F.when(F.col("lang") == F.lit(name), F.lit(i)).otherwise(tree)
     k = len(names) + 1
     texts = usable_docs.select(F.coalesce("text", F.lit("")).alias("text"), tree.cast("byte").alias("tree"))
-    counts = cut(_summed(texts.mapInArrow(_counts(k), "tree byte, h long, word binary, n long"), 1, "tree", "h", "word").where(F.expr(f"tree >= 0 OR n >= {support}")), "token-counts")
+    with _batches(spark, BATCH):
+        seen = cut(texts.mapInArrow(_counts(k, support), "tree byte, h long, word binary, n long"), "seen")
     by = F.array(*[F.coalesce(F.sum(F.when(F.col("tree") == i, F.col("n"))), F.lit(0)) for i in range(k)])
-    words = cut(counts.where("tree >= 0").groupBy("h", "word").agg(F.sum("n").alias("c"), by.alias("by")), "tokens")
+    words = cut(seen.where("tree >= 0").repartition(parts(spark), "h").groupBy("h", "word").agg(F.sum("n").alias("c"), by.alias("by")), "tokens")
+    packed = seen.where("tree < 0").select("h", "word").repartition(parts(spark), "h").sortWithinPartitions("h")
+    with _batches(spark, PACKED):
+        pairs = cut(packed.mapInArrow(_frequent(support), "at int, bits long"), "frequent")
+    drop(seen)
     sums = words.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("by")[i]), F.lit(0)) for i in range(k)]).first()
     distinct, sizes = sums[0], np.array(sums[1:], np.int64)
     least = _threshold(words, "c", head)
@@ -522,10 +614,14 @@ def learn(
     del top, h, c
     pa.default_memory_pool().release_unused()
     prior = np.log10((sizes + 1) / (sizes + 1).sum())
-    levels = _contexts(spark, texts, counts.where("tree < 0").select("h"), words, sizes, distinct, gain, support, divergence)
-    drop(counts, spelled)
-    others, contexts = [words.where(F.col("c") < least).select("h", "by", F.lit(0.0).alias("mass"), F.lit(1.0).alias("rest"))], []
-    no_counts = F.lit(None).cast("array<long>").alias("by")
+    levels = _contexts(spark, texts, _bitmap(pairs), words, sizes, distinct, gain, support, divergence)
+    drop(pairs, spelled)
+
+    def other(rows: DataFrame, h: str, kind: Column, v: str) -> DataFrame:
+        return rows.select(F.col(h).alias("h"), kind.cast("byte").alias("kind"), F.col(v).cast("double").alias("v"))
+
+    rare = words.where(F.col("c") < least).select("h", F.posexplode("by").alias("tree", "n")).where("n > 0")
+    others, contexts = [other(rare, "h", F.col("tree"), "n")], []
     for level in levels:
         after = level.where("rest IS NOT NULL")
         before = after.groupBy("h").agg(F.max("rest").alias("rest"), F.max("total").alias("n"))
@@ -533,9 +629,9 @@ def learn(
         a, b = before.where(F.col("n") >= often).select("h", "rest").toArrow(), after.where(F.col("n") >= common).select("key", "mass").toArrow()
         contexts.append(Contexts(a.column("h").to_numpy().view(np.uint64), a.column("rest").to_numpy(), b.column("key").to_numpy().view(np.uint64), b.column("mass").to_numpy()))
         del a, b
-        others.append(before.where(F.col("n") < often).select("h", no_counts, F.lit(0.0).alias("mass"), "rest"))
-        others.append(after.where(F.col("n") < common).select(F.col("key").alias("h"), no_counts, "mass", F.lit(1.0).alias("rest")))
-    others = cut(reduce(DataFrame.unionAll, others).groupBy("h").agg(F.max("by").alias("by"), F.max("mass").alias("mass"), F.min("rest").alias("rest")), "others")
+        others.append(other(before.where(F.col("n") < often), "h", F.lit(k + 1), "rest"))
+        others.append(other(after.where(F.col("n") < common), "key", F.lit(k), "mass"))
+    others = cut(reduce(DataFrame.unionAll, others), "others")
     drop(words, *levels)
     pa.default_memory_pool().release_unused()
     return Model(made, prior, sizes, int(distinct), head_hash, head_count, contexts, others, _bits(others.select("h")))
@@ -553,17 +649,19 @@ def _threshold(rows: DataFrame, n: str, most: int) -> int:
     return 1
 
 
-def _contexts(spark, texts: DataFrame, pairs: DataFrame, words: DataFrame, sizes: np.ndarray, distinct: int, gain: float, support: int, divergence: float) -> list[DataFrame]:
-    """Transitions after one token and after two, as ``_chosen`` gives them; ``pairs`` has the keys (h) of pairs that occur often enough."""
-    shared = spark.sparkContext.broadcast(_bits(pairs))
-    pairs = cut(_summed(texts.select("text").mapInArrow(_following(shared), "h long, u long, b long, n long"), support, "h", "b"), "pairs")
+def _contexts(spark, texts: DataFrame, pairs: np.ndarray, words: DataFrame, sizes: np.ndarray, distinct: int, gain: float, support: int, divergence: float) -> list[DataFrame]:
+    """Transitions after one token and after two, as ``_chosen`` gives them; ``pairs`` is the bitmap of pairs that occur often enough."""
+    shared = spark.sparkContext.broadcast(pairs)
+    with _batches(spark, BATCH):
+        pairs = cut(_summed(texts.select("text").mapInArrow(_following(shared), "h long, u long, b long, n long"), support, "h", "b"), "pairs")
     shared.destroy()
     after, before = words.select(F.col("h").alias("b"), F.col("by").alias("b_by")), words.select("h", F.col("c").alias("total"), "by")
     base = sum((F.col("by")[i] / F.col("c_u") * (F.col("b_by")[i] + 1) / float(n + distinct) for i, n in enumerate(sizes.tolist())), F.lit(0.0))
     rows = pairs.join(before, "h").join(after, "b").withColumn("c_u", F.col("total"))
     one = _chosen(rows.select("h", "b", "n", "total", base.alias("base")), gain, divergence, "transitions")
     shared = spark.sparkContext.broadcast(_bits(one.select(F.col("key").alias("h"))))
-    two = cut(_summed(texts.select("text").mapInArrow(_longer(shared), "h long, u long, b long, n long"), support, "h", "u", "b"), "longer")
+    with _batches(spark, BATCH):
+        two = cut(_summed(texts.select("text").mapInArrow(_longer(shared), "h long, u long, b long, n long"), support, "h", "u", "b"), "longer")
     shared.destroy()
     own = one.select(F.col("h").alias("u"), "b", F.when(F.col("rest").isNotNull(), F.col("mass")).alias("own"))
     weights = one.where("rest IS NOT NULL").groupBy(F.col("h").alias("u")).agg(F.max("rest").alias("rest"))
@@ -576,15 +674,17 @@ def _contexts(spark, texts: DataFrame, pairs: DataFrame, words: DataFrame, sizes
 
 
 def _needed(shared):
-    """(key, text) to (key, h): what each text needs of the table of others, as far as the bitmap can tell."""
+    """(_lm_key, _lm_text) to (_lm_key, _lm_h): what each text needs of the table of others, as far as the bitmap can tell; once in a task."""
 
     def run(batches):
         m = shared.value
         one, two = m.contexts
-        words = Keys(m.head)
+        words, met = Keys(m.head), set()
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            keys = batch.column("key").to_numpy()
+            new = [k not in met and not met.add(k) for k in batch.column("_lm_key").to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            data, offsets = buffers(batch.column("_lm_text"))
+            keys = batch.column("_lm_key").to_numpy()
             for i, j in groups(offsets, PIECE):
                 _, _, before, h = word_symbols(_lower[data[offsets[i] : offsets[j]]], offsets[i : j + 1])
                 token, last, doc, ends = token_stream(h, before)
@@ -600,109 +700,133 @@ def _needed(shared):
                 most = np.flatnonzero(_known(m.bits, three) & ~two.keys.has(three))
                 h, of = np.concatenate((token[at], key[pairs], three[most])), np.concatenate((of[at], doc[pairs], doc[longer[most]]))
                 first = _merge(mix(h + mix(of.astype(np.uint64))), np.ones(len(h), np.int64))[2]
-                yield from _emit({"key": keys[i + of[first]], "h": h[first].view(np.int64)})
+                yield from _emit({"_lm_key": keys[i + of[first]], "_lm_h": h[first].view(np.int64)})
 
     return run
 
 
 def _score(shared, carry: list[str]):
+    """Texts, each after the rows that it met in the table of others, to the ``carry`` columns and the sums of their tokens."""
     names = [*carry, "n_tokens", "n_known", "logs", "score"]
 
-    def looked_up(batch, trees: int) -> tuple[Keys, np.ndarray, Contexts]:
-        """What the texts of a batch got from the table: tokens with their counts, states and transitions."""
-        words, more = batch.column("words").flatten(), batch.column("more").flatten()
-        h, at = np.unique(words.field("h").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
-        by = words.field("by").flatten().to_numpy().reshape(-1, trees)[at]
-        key, at = np.unique(more.field("h").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
-        mass, rest = (more.field(x).to_numpy(zero_copy_only=False)[at] for x in ("mass", "rest"))
-        return Keys(h), by, Contexts(key, rest, key, mass)
+    def looked_up(h: np.ndarray, kind: np.ndarray, v: np.ndarray, trees: int) -> tuple[Keys, np.ndarray, Contexts]:
+        """Rows of the table: tokens with their counts, states and transitions."""
+        at = np.flatnonzero(kind < trees)
+        token, of = np.unique(h[at], return_inverse=True)
+        by = np.zeros((len(token), trees), np.int64)
+        by[of, kind[at]] = v[at]
+        key, state = (np.flatnonzero(kind == trees + i) for i in range(2))
+        key, state = (at[_merge(h[at], at)[2]] for at in (key, state))
+        return Keys(token), by, Contexts(h[state], v[state], h[key], v[key])
+
+    def tokens(texts: pa.Table, given: list[np.ndarray], m: Model, frequent: Keys) -> pa.RecordBatch:
+        trees = len(m.trees)
+        end = np.uint64(END & (2**64 - 1))
+        data, offsets = buffers(texts.column("_lm_text"))
+        other, other_count, more = looked_up(given[1].view(np.uint64), given[2], given[3], trees)
+        out: list[list] = [[] for _ in range(4)]
+        for i, j in groups(offsets, PIECE):
+            x = _lower[data[offsets[i] : offsets[j]]]
+            begin, stop, before, h = word_symbols(x, offsets[i : j + 1])
+            n = j - i
+            order = np.argsort(h)
+            new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(h)]
+            first, inverse = order[new], np.empty(len(h), np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            u = h[first]
+            # The end of a text is a token of no bytes.
+            u = np.append(u, end)
+            b, size = np.append(begin[first], 0), np.append((stop - begin)[first], 0)
+            hashes, last, doc, ends = token_stream(h, before)
+            length = np.diff(before) + 1
+            token = np.full(ends[-1], len(u) - 1)
+            inner = np.ones(ends[-1], bool)
+            inner[ends - 1] = False
+            token[inner] = inverse
+            count = np.zeros((len(u), trees), np.int64)
+            for keys, counts in ((other, other_count), (frequent, m.head_count)):
+                at, k = keys.find(u)
+                count[at] = counts[k]
+            spelled = np.stack([t.spell(x, b, size) for t in m.trees], axis=1)
+            log_p = np.stack([m.log_known(t, count[:, t], spelled[:, t]) for t in range(trees)], axis=1)
+            # The root for a token is the one that best spells the tokens before it.
+            seen = np.cumsum(spelled[token], axis=0)
+            past = np.zeros_like(seen)
+            past[1:] = seen[:-1]
+            past -= past[ends - length][doc]
+            tree = (past + m.prior).argmax(axis=1)
+            # Probability of a token: own + rest * that under the root.
+            own, rest = np.zeros(len(token)), np.ones(len(token))
+            one = pair(last, hashes)
+            mix_in([m.contexts[0], more], last, one, own, rest)
+            longer = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+            a, c = own[longer], rest[longer]
+            mix_in([m.contexts[1], more], one[longer - 1], pair(one[longer - 1], hashes[longer]), a, c)
+            own[longer], rest[longer] = a, c
+            total = count.sum(axis=1)
+            root = log_p[token, tree]
+            with np.errstate(divide="ignore"):
+                p = np.where(own == 0, np.log10(rest) + root, np.logaddexp(np.log(own), np.log(rest) + root * np.log(10)) / np.log(10))
+            out[0].append(length)
+            out[1].append(np.bincount(doc, weights=total[token] > 0, minlength=n).astype(np.int64))
+            out[2].append(np.bincount(doc, weights=np.log10(total + 1)[token], minlength=n))
+            out[3].append(np.bincount(doc, weights=p, minlength=n))
+        return pa.RecordBatch.from_arrays([*(texts.column(c).combine_chunks() for c in carry), *(pa.array(np.concatenate(v)) for v in out)], names)
+
+    def scored(rows: pa.Table, before: list[np.ndarray], m: Model, frequent: Keys):
+        """(what the texts among ``rows`` give, rows of the table that belong to the last key)"""
+        given = rows.filter(rows.column("_lm_text").is_null()).select(["_lm_key", "_lm_h", "_lm_kind", "_lm_v"])
+        given = [np.concatenate((x, c.to_numpy())) for x, c in zip(before, given.columns, strict=True)]
+        last = rows.column("_lm_key")[-1].as_py() & -2
+        texts = rows.filter(rows.column("_lm_text").is_valid())
+        out = tokens(texts, given, m, frequent) if texts.num_rows else None
+        at = np.flatnonzero(given[0] == last)
+        return out, [x[at] for x in given]
 
     def run(batches):
         m = shared.value
-        trees = len(m.trees)
-        end = np.uint64(END & (2**64 - 1))
         frequent = Keys(m.head)
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            other, other_count, more = looked_up(batch, trees)
-            out: list[list] = [[] for _ in range(4)]
-            for i, j in groups(offsets, PIECE):
-                x = _lower[data[offsets[i] : offsets[j]]]
-                begin, stop, before, h = word_symbols(x, offsets[i : j + 1])
-                n = j - i
-                u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                # The end of a text is a token of no bytes.
-                u = np.append(u, end)
-                b, size = np.append(begin[first], 0), np.append((stop - begin)[first], 0)
-                hashes, last, doc, ends = token_stream(h, before)
-                length = np.diff(before) + 1
-                token = np.full(ends[-1], len(u) - 1)
-                inner = np.ones(ends[-1], bool)
-                inner[ends - 1] = False
-                token[inner] = inverse
-                count = np.zeros((len(u), trees), np.int64)
-                for keys, counts in ((other, other_count), (frequent, m.head_count)):
-                    at, k = keys.find(u)
-                    count[at] = counts[k]
-                spelled = np.stack([t.spell(x, b, size) for t in m.trees], axis=1)
-                log_p = np.stack([m.log_known(t, count[:, t], spelled[:, t]) for t in range(trees)], axis=1)
-                # The root for a token is the one that best spells the tokens before it.
-                seen = np.cumsum(spelled[token], axis=0)
-                past = np.zeros_like(seen)
-                past[1:] = seen[:-1]
-                past -= past[ends - length][doc]
-                tree = (past + m.prior).argmax(axis=1)
-                # Probability of a token: own + rest * that under the root.
-                own, rest = np.zeros(len(token)), np.ones(len(token))
-                one = pair(last, hashes)
-                mix_in([m.contexts[0], more], last, one, own, rest)
-                longer = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-                a, c = own[longer], rest[longer]
-                mix_in([m.contexts[1], more], one[longer - 1], pair(one[longer - 1], hashes[longer]), a, c)
-                own[longer], rest[longer] = a, c
-                total = count.sum(axis=1)
-                root = log_p[token, tree]
-                with np.errstate(divide="ignore"):
-                    p = np.where(own == 0, np.log10(rest) + root, np.logaddexp(np.log(own), np.log(rest) + root * np.log(10)) / np.log(10))
-                out[0].append(length)
-                out[1].append(np.bincount(doc, weights=total[token] > 0, minlength=n).astype(np.int64))
-                out[2].append(np.bincount(doc, weights=np.log10(total + 1)[token], minlength=n))
-                out[3].append(np.bincount(doc, weights=p, minlength=n))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(np.concatenate(v)) for v in out)], names)
+        held, size, kept = [], 0, [np.zeros(0, t) for t in (np.int64, np.int64, np.int8, np.float64)]
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if held and (batch is None or size > ROWS):
+                out, kept = scored(pa.Table.from_batches(held), kept, m, frequent)
+                held, size = [], 0
+                if out is not None:
+                    yield out
 
     return run
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), slices: int = SLICES) -> DataFrame:
     """The ``carry`` columns of each row, n_tokens, n_known, train_tokens, base_score and score.
 
     score is the model's log10 probability of the text with its end, base_score that of single tokens with one added
     to every count. Null texts are empty: one token, the end. Repeated rows score alike. With nothing learned every
     token is unknown. An empty table gives no rows. Columns besides text and ``carry`` are ignored, whatever their names.
     """
-    carry = list(carry)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, others=None))
-    # Texts under one key share what either needs, so a clash of hashes does no harm.
-    read = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"), text_key().alias("_key"))
-    needed = read.select(F.col("_key").alias("key"), "text").mapInArrow(_needed(shared), "key long, h long").repartition(parts(docs.sparkSession), "h").dropDuplicates()
-    found = needed.join(model.others, "h").groupBy(F.col("key").alias("_key")).agg(
-        F.collect_list(F.when(F.col("by").isNotNull(), F.struct("h", "by"))).alias("words"),
-        F.collect_list(F.when((F.col("mass") > 0) | (F.col("rest") < 1), F.struct("h", "mass", "rest"))).alias("more"),
-    )
-    found = cut(found, "needed")
-    none = [F.coalesce(x, F.array().cast(found.schema[x].dataType)).alias(x) for x in ("words", "more")]
-    rows = read.join(found, "_key", "left").select(*carry, "text", *none)
-    rows = rows.mapInArrow(_score(shared, carry), f"{kinds}, n_tokens long, n_known long, logs double, score double")
-    size = docs.sparkSession.conf.get(_BATCH)
-    docs.sparkSession.conf.set(_BATCH, min(int(size), 1500) if int(size) > 0 else 1500)
-    try:
-        rows = cut(rows, "scores")
-    finally:
-        docs.sparkSession.conf.set(_BATCH, size)
-    shared.destroy()
-    drop(found)
+    spark, carry = docs.sparkSession, list(carry)
+    schema = docs.select(*carry).schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    lookup, scorer = (spark.sparkContext.broadcast(replace(model, others=None, **unused)) for unused in ({"trees": []}, {"bits": None}))
+    # Texts under one key share what either needs, so a clash of hashes does no harm. A key is even, that of a text one more, so it comes last.
+    deal = F.pmod(F.xxhash64(*[F.col(f.name) for f in schema if isinstance(f.dataType, IntegralType | StringType)], F.lit(0)), F.lit(COPIES))
+    read = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_lm_text"), F.xxhash64(text_key(), deal).bitwiseAND(F.lit(-2)).alias("_lm_key"))
+    others = model.others.select(F.col("h").alias("_lm_h"), F.col("kind").alias("_lm_kind"), F.col("v").alias("_lm_v"))
+    out = []
+    for i in range(slices):
+        part = read.where(F.pmod(F.shiftright("_lm_key", 1), F.lit(slices)) == i)
+        needed = part.select("_lm_key", "_lm_text").mapInArrow(_needed(lookup), "_lm_key long, _lm_h long")
+        found = needed.join(others.hint("shuffle_hash"), "_lm_h").select("_lm_key", "_lm_h", "_lm_kind", "_lm_v")
+        rows = found.unionByName(part.withColumn("_lm_key", F.col("_lm_key") + 1), allowMissingColumns=True)
+        rows = rows.repartition(parts(spark), F.col("_lm_key").bitwiseAND(F.lit(-2))).sortWithinPartitions("_lm_key")
+        with _batches(spark, BATCH):
+            out.append(cut(rows.mapInArrow(_score(scorer, carry), f"{kinds}, n_tokens long, n_known long, logs double, score double"), "scores"))
+    rows = reduce(DataFrame.unionAll, out)
+    lookup.destroy()
+    scorer.destroy()
     n, v = float(model.tokens), float(model.distinct)
     return rows.select(
         *[F.col(x) for x in carry],

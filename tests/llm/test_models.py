@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import langid, queries, suffix_tree, toxicity
 from folioflow.llm.split import held_out
+from folioflow.llm.windows import word_symbols
 
 SF = "/root/testdata/sf0.01"
 
@@ -215,6 +217,46 @@ def test_no_transition_is_dropped(spark, transitions):
     assert {i: round(got[i], 2) for i in got} == {i: round(x, 2) for (i, _, _), x in zip(everything, want)}
 
 
+def test_pairs_take_four_bytes_and_frequent_ones_are_all_found():
+    """A row for each pair took more disk than all else; packed, no pair that is frequent over all tasks may be missed."""
+    rng = np.random.default_rng(5)
+    tasks = [[" ".join(f"w{i}" for i in rng.integers(0, 150, 3000)) for _ in range(4)] for _ in range(3)]
+    packed, n = [], Counter()
+    for texts in tasks:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.zeros(len(texts), np.int8))], ["text", "tree"])
+        rows = [r for out in suffix_tree._counts(1, 3)(iter([batch])) for r in out.to_pylist() if r["tree"] < 0]
+        assert sum(len(r["word"]) for r in rows) <= 4 * sum(len(t.split()) + 1 for t in texts) and len(rows) <= 1 << suffix_tree.BUCKET
+        packed += rows
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            _, _, before, h = word_symbols(data, np.array([0, len(data)]))
+            token, last, _, _ = suffix_tree.token_stream(h, before)
+            n.update(suffix_tree.pair(last, token).tolist())
+    packed.sort(key=lambda r: r["h"])
+    table = pa.table({"h": [r["h"] for r in packed], "word": pa.array([r["word"] for r in packed], pa.binary())})
+    got = {(a, b) for out in suffix_tree._frequent(3)(iter(table.to_batches(max_chunksize=100))) for a, b in zip(out["at"].to_pylist(), out["bits"].to_pylist(), strict=True)}
+    want = Counter()
+    for k in {k >> (64 - suffix_tree.BITS) for k, m in n.items() if m >= 3}:
+        want[k >> 6] |= 1 << (k & 63)
+    assert 0 < len(want) and {a: b % 2**64 for a, b in got} == dict(want)
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_slices_and_copies_do_not_change_scores(spark, docs, slices, monkeypatch):
+    """Texts meet what they need slice by slice, in batches that may end between a text and its rows; a text's copies are dealt out."""
+    model = suffix_tree.learn(docs, ~held_out(7, 2), gain=4.0, divergence=12.0, support=2, head=4, transitions=0)
+    many = docs.unionAll(docs)
+    a, b = (sorted((str(r.doc_id), round(r.score, 6)) for r in x.collect()) for x in (suffix_tree.score(many, model), suffix_tree.score(docs, model, slices=slices)))
+    assert a == sorted(b + b) and len(b) == docs.count()
+    monkeypatch.setattr(suffix_tree, "ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        c = sorted((str(r.doc_id), round(r.score, 6)) for r in suffix_tree.score(docs, model, slices=slices).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert b == c
+
+
 def test_no_state_of_a_spelling_tree_is_dropped():
     letters = b"abcdefghijklmnopqrstuvwxyz"
     words = [bytes((a, b, c, letters[zlib.crc32(bytes((a, b, c))) % 26])) for a in letters for b in letters for c in letters]
