@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources.batches import mapped
 from folioflow.sources.parsers import PARSERS, ParseError, parse, xlsx_cell_styles
 
 CELL = "struct<row int, column int, row_span int, column_span int, text string, hidden boolean>"
@@ -17,42 +18,35 @@ def supported(path: Column) -> Column:
     return F.lower(F.element_at(F.split(path, r"\."), -1)).isin(*PARSERS)
 
 
-def _style(x: dict | None) -> dict | None:
-    return None if x is None else {k: str(v) for k, v in x.items()}
+def _style(x: dict | None) -> list | None:
+    return None if x is None else [(k, str(v)) for k, v in x.items()]
 
 
-def _row(path: str, page_no: int | None, page: dict, block_no: int | None, b: dict, error: str | None) -> dict:
+def _row(path: str, page_no: int | None, page: dict, block_no: int | None, b: dict, error: str | None) -> tuple:
     num = lambda k: None if b.get(k) is None else float(b[k])
-    return {
-        "path": path, "page_no": page_no, "page_name": page.get("name"), "page_width": page.get("width"), "page_height": page.get("height"), "block_no": block_no, "type": b.get("type"), "role": b.get("role"), "text": b.get("text"), "x": num("x"), "y": num("y"),
-        "width": num("width"), "height": num("height"), "overflow": bool(b.get("overflow", False)), "src": b.get("src"), "rows": b.get("rows"), "columns": b.get("columns"), "cells": b.get("cells"),
-        "style": _style(b.get("style")), "spans": None if b.get("spans") is None else [{"text": x.get("text"), "style": _style(x.get("style"))} for x in b["spans"]], "content": b.get("content"), "error": error,
-    }
-
-
-def _parse(frames):
-    import pandas as pd
-
-    for f in frames:
-        rows = []
-        for path, content in zip(f["path"], f["content"], strict=True):
-            try:
-                pages = parse(bytes(content), path)
-                for i, page in enumerate(pages, 1):
-                    for k, b in enumerate(page["blocks"]):
-                        rows.append(_row(path, i, page, k, b, None))
-            except ParseError as e:
-                rows.append(_row(path, None, {}, None, {}, str(e)))
-        if rows:
-            out = pd.DataFrame(rows)
-            for c in ("page_no", "block_no", "rows", "columns"):
-                out[c] = out[c].astype("Int32")
-            yield out
+    whole = lambda k: int(b[k]) if isinstance(b.get(k), float) and b[k].is_integer() else b.get(k)
+    spans = None if b.get("spans") is None else [{"text": x.get("text"), "style": _style(x.get("style"))} for x in b["spans"]]
+    return (
+        path, page_no, page.get("name"), page.get("width"), page.get("height"), block_no, b.get("type"), b.get("role"), b.get("text"), num("x"), num("y"), num("width"), num("height"), bool(b.get("overflow", False)),
+        b.get("src"), whole("rows"), whole("columns"), b.get("cells"), _style(b.get("style")), spans, b.get("content"), error,
+    )
+
+
+def _parse(f):
+    for path, content in zip(f["path"], f["content"], strict=True):
+        try:
+            pages = parse(bytes(content), path)
+        except ParseError as e:
+            yield _row(path, None, {}, None, {}, str(e))
+            continue
+        for i, page in enumerate(pages, 1):
+            for k, b in enumerate(page["blocks"]):
+                yield _row(path, i, page, k, b, None)
 
 
 def parse_contents(files: DataFrame) -> DataFrame:
     """(path, content) to blocks; a file that can't be read is one row with its error."""
-    return files.select("path", "content").mapInPandas(_parse, BLOCKS)
+    return mapped(files.select("path", "content"), _parse, BLOCKS)
 
 
 def read(spark: SparkSession, path: str, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -70,11 +64,9 @@ def read(spark: SparkSession, path: str, limit: int = LIMIT) -> tuple[DataFrame,
 def cell_styles(files: DataFrame) -> DataFrame:
     """(path, content) of workbooks to (path, sheet, row, column, style) of their cells."""
 
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [(path, x["sheet"], x["row"], x["column"], _style(x["style"])) for path, content in zip(f["path"], f["content"], strict=True) for x in xlsx_cell_styles(bytes(content))]
-            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "column", "style"])
+    def run(f):
+        for path, content in zip(f["path"], f["content"], strict=True):
+            for x in xlsx_cell_styles(bytes(content)):
+                yield path, x["sheet"], x["row"], x["column"], _style(x["style"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, sheet string, row int, column int, style map<string,string>")
+    return mapped(files.select("path", "content"), run, "path string, sheet string, row int, column int, style map<string,string>")
