@@ -17,6 +17,7 @@ from folioflow.plans.models import _CELLS_SQL, _SIZES_SQL, cells
 from folioflow.plans.registry import query
 from folioflow.session import table
 from folioflow.sources import files, sinks
+from folioflow.sources.batches import mapped
 
 _SLOTS = f"""(SELECT g.tbl, g.r, g.c, coalesce(x.text, '') AS text FROM (SELECT tbl, r, unnest(range(n_cols)) AS c FROM (SELECT tbl, n_cols, unnest(range(n_rows)) AS r FROM {_SIZES_SQL} AS s) AS s2) AS g LEFT JOIN {_CELLS_SQL} AS x ON x.tbl = g.tbl AND x."row" = g.r AND x.col = g.c AND NOT x.hidden)"""
 
@@ -103,14 +104,11 @@ def html_export(spark, sf_dir):
 def _made(rows: DataFrame, write) -> DataFrame:
     """(path, content) of (path, pages array<struct<no, head, body>>) by a function of the pages."""
 
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            pages = [sorted(((r["no"], r["head"] or "", r["body"] or "") for r in rows), key=lambda r: r[0]) for rows in f["pages"]]
-            yield pd.DataFrame({"path": f["path"], "content": [write(p) for p in pages]})
+    def run(f):
+        for path, found in zip(f["path"], f["pages"], strict=True):
+            yield path, write(sorted(((r["no"], r["head"] or "", r["body"] or "") for r in found), key=lambda r: r[0]))
 
-    return rows.mapInPandas(run, "path string, content binary")
+    return mapped(rows, run, "path string, content binary")
 
 
 def _conversations(spark, sf_dir, ending: str) -> DataFrame:

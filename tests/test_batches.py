@@ -45,3 +45,14 @@ def test_readers_and_writers_use_small_batches(spark, monkeypatch):
     assert blocks.count() == 6000
     back = sinks.export(blocks.drop("error"), "txt")
     assert {bytes(r["content"]) for r in back.select("content").distinct().collect()} == {b"a\n\nb"}
+
+
+def _whole_batches(spark, name):
+    """Whether a Python stage of a query takes its batches whole."""
+    from folioflow.plans import registry
+
+    return "MapInPandas" in registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_docx_styles_takes_pieces(spark):
+    assert not _whole_batches(spark, "docx_styles")
