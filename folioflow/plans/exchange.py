@@ -305,20 +305,15 @@ def docx_placed(spark, sf_dir):
         f"CAST(NULL AS ARRAY<{files.CELL}>) AS cells", "map('fontWeight', IF(turn % 2 = 1, '700', '400'), 'fontSize', CAST(12 + turn % 5 AS STRING), 'color', '#a1b2c3') AS style", "IF(turn % 4 = 3, encode(text, 'utf-8'), NULL) AS content",
     )
 
-    def look(frames):
+    def look(f):
         import re
 
-        import pandas as pd
+        for path, content in zip(f["path"], f["content"], strict=True):
+            z = zipfile.ZipFile(io.BytesIO(content))
+            xml = z.read("word/document.xml").decode()
+            number = lambda name: sum(map(float, re.findall(name + r":([\d.]+)pt", xml)))  # noqa: E731, B023
+            images = [i.file_size for i in z.infolist() if i.filename.startswith("word/media/")]
+            halves = [int(run.group(1)) for run in re.finditer(r'<w:sz w:val="(\d+)"', xml)]
+            yield path, xml.count("<v:rect"), number("margin-left"), number("margin-top"), xml.count("<w:b/>"), sum(halves), len(images), sum(images)
 
-        for f in frames:
-            out = []
-            for path, content in zip(f["path"], f["content"], strict=True):
-                z = zipfile.ZipFile(io.BytesIO(content))
-                xml = z.read("word/document.xml").decode()
-                number = lambda name: sum(map(float, re.findall(name + r":([\d.]+)pt", xml)))  # noqa: E731, B023
-                images = [i.file_size for i in z.infolist() if i.filename.startswith("word/media/")]
-                halves = [int(run.group(1)) for run in re.finditer(r'<w:sz w:val="(\d+)"', xml)]
-                out.append((path, xml.count("<v:rect"), number("margin-left"), number("margin-top"), xml.count("<w:b/>"), sum(halves), len(images), sum(images)))
-            yield pd.DataFrame(out, columns=["path", "n_frames", "lefts", "tops", "n_bold", "half_points", "n_images", "n_bytes"])
-
-    return sinks.export(t, "docx-original").mapInPandas(look, "path string, n_frames long, lefts double, tops double, n_bold long, half_points long, n_images long, n_bytes long")
+    return mapped(sinks.export(t, "docx-original"), look, "path string, n_frames long, lefts double, tops double, n_bold long, half_points long, n_images long, n_bytes long")

@@ -56,3 +56,7 @@ def _whole_batches(spark, name):
 
 def test_docx_styles_takes_pieces(spark):
     assert not _whole_batches(spark, "docx_styles")
+
+
+def test_docx_placed_takes_pieces(spark):
+    assert not _whole_batches(spark, "docx_placed")
