@@ -60,3 +60,7 @@ def test_docx_styles_takes_pieces(spark):
 
 def test_docx_placed_takes_pieces(spark):
     assert not _whole_batches(spark, "docx_placed")
+
+
+def test_docx_images_takes_pieces(spark):
+    assert not _whole_batches(spark, "docx_images")
