@@ -64,3 +64,7 @@ def test_docx_placed_takes_pieces(spark):
 
 def test_docx_images_takes_pieces(spark):
     assert not _whole_batches(spark, "docx_images")
+
+
+def test_docx_tables_takes_pieces(spark):
+    assert not _whole_batches(spark, "docx_tables")
