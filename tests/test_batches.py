@@ -68,3 +68,7 @@ def test_docx_images_takes_pieces(spark):
 
 def test_docx_tables_takes_pieces(spark):
     assert not _whole_batches(spark, "docx_tables")
+
+
+def test_html_blocks_takes_pieces(spark):
+    assert not _whole_batches(spark, "html_blocks")
