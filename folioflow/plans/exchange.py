@@ -203,14 +203,10 @@ def image_archives(spark, sf_dir):
     """Page images of each document in one archive, read again."""
     pages = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit(".zip")).alias("path"), F.col("turn").alias("page_no"), F.encode("text", "utf-8").alias("image"))
 
-    def names(frames):
-        import pandas as pd
+    def names(f):
+        return ((p, i.filename, i.file_size) for p, c in zip(f["path"], f["content"], strict=True) for i in zipfile.ZipFile(io.BytesIO(c)).infolist())
 
-        for f in frames:
-            out = [(p, i.filename, i.file_size) for p, c in zip(f["path"], f["content"], strict=True) for i in zipfile.ZipFile(io.BytesIO(c)).infolist()]
-            yield pd.DataFrame(out, columns=["path", "name", "n_bytes"])
-
-    return sinks.zip_images(pages).mapInPandas(names, "path string, name string, n_bytes long")
+    return mapped(sinks.zip_images(pages), names, "path string, name string, n_bytes long")
 
 
 _W = 'xmlns:w="urn:w" xmlns:a="urn:a" xmlns:r="urn:r" xmlns:wp="urn:wp"'

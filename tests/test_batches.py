@@ -72,3 +72,7 @@ def test_docx_tables_takes_pieces(spark):
 
 def test_html_blocks_takes_pieces(spark):
     assert not _whole_batches(spark, "html_blocks")
+
+
+def test_image_archives_takes_pieces(spark):
+    assert not _whole_batches(spark, "image_archives")
