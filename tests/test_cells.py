@@ -11,3 +11,8 @@ def _reads(spark, name):
 
 def test_export_policy_reads_orders_once(spark):
     assert _reads(spark, "export_policy") == 1
+
+
+@pytest.mark.parametrize("name", ["cell_contamination", "verified_cells", "cell_neighbours"])
+def test_cells_read_orders_once(spark, name):
+    assert _reads(spark, name) == 1
