@@ -80,6 +80,9 @@ CODE = r"(?i)^(?:[0-9A-Z]{2,}[-/_])+[-./0-9A-Z_]+$"
 _AREA = r"\(?\d\d\d?\)?"
 PHONE = r"^(?:\+?\d{1,3}[-\s]?)?" + rf"(?:{_AREA}[-\s]?)?" + r"\d{3,4}[-\s]?\d{3,4}$"
 LINK = r"(?i)(?:www\.|https?://|[^@\s]+@[^@\s]+\.[^@\s]+)"
+#: Spark's spelling of the last one and of counts of words by a letter: whether and how often they match is the same, but each starts at the sign that decides.
+_LINK_AT = r"(?i)(?:www\.|https?://|[^@\s]@[^@\s]+\.[^@\s])"
+_WORDS = {letters: (rf"[^\x{{0E00}}-\x{{0E7F}}\s{letters}]*[{letters}][^\x{{0E00}}-\x{{0E7F}}\s]*", rf"[{letters}][^\x{{0E00}}-\x{{0E7F}}\s]*") for letters in ("A-Za-z", "AEIOUaeiouy")}
 SYLLABLE = "(?:[เแโใไ]?[ก-ฮ]+[ะ-ูเ-์]?|[ก-ฮ]+[รลว][ก-ฮ]?)"
 MIXED = r"[A-Za-z][ก-๙][0-9A-Za-z]" + "|" + r"[ก-๙][#+0-9@A-Z\[\]a-z|]{2,}"
 
@@ -88,11 +91,10 @@ def gibberish(d, source: str) -> str:
     """(id, status, score, reasons) of texts with confidence, baseline and fit, by ten penalties that add up."""
     n = "length(" + d.sub("t", r"\s", "") + ")"
     symbols = d.count("t", r"[\p{P}\p{S}]")
-    tokens, english = d.count("t", r"\S+"), d.count("x", r"[^\x{0E00}-\x{0E7F}\sA-Za-z]*[A-Za-z][^\x{0E00}-\x{0E7F}\s]*")
+    tokens, english, vowels = d.count("t", r"\S+"), *(d.count("x", of[d.spark]) for of in _WORDS.values())
     odd = d.count("t", r"[#+@\[\]|]")
     short = d.count("(' ' || " + d.sub("t", r"\s+", "  ") + " || ' ')", r"\s\S{1,2}\s")
     suspicious = d.count("(' ' || " + d.sub("t", r"\s+", "  ") + " || ' ')", r"\s[^\s#+<>@\[\]{|}\\]{0,8}[#+<>@\[\]{|}\\]\S{0,8}\s")
-    vowels = d.count("x", r"[^\x{0E00}-\x{0E7F}\sAEIOUaeiouy]*[AEIOUaeiouy][^\x{0E00}-\x{0E7F}\s]*")
     parts = {
         "symbol_ratio": f"CASE WHEN {n} > 0 AND {symbols} * 1.0 / greatest({n}, 1) > 0.25 THEN 0.34 ELSE 0.0 END",
         "script_switches": f"CASE WHEN NOT {d.has('t', '[#+<>@' + chr(92) + '[' + chr(92) + ']{|}' + chr(92) * 2 + ']')} THEN 0.0 ELSE least(0.3, {suspicious} * 0.5 / greatest({tokens}, 1)) END",
@@ -105,7 +107,7 @@ def gibberish(d, source: str) -> str:
         "no_baseline": "CASE WHEN NOT baseline THEN 0.3 ELSE 0.0 END",
         "box_mismatch": "CASE WHEN NOT fit THEN 0.22 ELSE 0.0 END",
     }
-    exempt = f"({d.has('t', CODE)} OR {d.has('t', PHONE)} OR {d.has('t', LINK)})"
+    exempt = f"({d.has('t', CODE)} OR {d.has('t', PHONE)} OR {d.has('t', _LINK_AT if d.spark else LINK)})"
     cols = ", ".join(f"{v} AS g_{k}" for k, v in parts.items())
     score = "least(1.0, " + " + ".join("g_" + k for k in parts) + ")"
     final = f"CASE WHEN t = '' THEN 1.0 WHEN exempt THEN CASE WHEN confidence >= 0.72 THEN 0.0 ELSE 0.35 END ELSE round({score}, 9) END"
